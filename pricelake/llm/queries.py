@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, jaccard, lengths, packing, records, sharding, toxicity
+from . import chat, decontamination, dedup, jaccard, lengths, packing, records, sharding, toxicity
 from .common import shared_dir, table
 
 #: The contract's extra conversation (fixed value), whose texts hold the template's control strings.
@@ -19,6 +19,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -47,18 +51,25 @@ def op8_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.length_histogram(lengths.token_lengths(table(spark, sf_dir, "documents")))
 
 
+def held_out() -> Column:
+    """The fold whose labels nothing learns from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    return toxicity.fit(toxicity.training_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out())))
+
+
 def op9_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
-    labels = table(spark, sf_dir, "labels").where(~out)
-    scored = toxicity.score(docs, toxicity.fit(toxicity.training_sample(docs, labels)))
-    return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup,
+        op2_benchmark_decontamination,
         op3_ngram_jaccard_join,
         op4_chat_prefix_targets,
         op5_power_of_two_packing,
