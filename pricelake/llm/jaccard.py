@@ -323,3 +323,13 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     comps = components(links.unionByName(found).unionByName(ties))
     out = slim.join(comps, slim["class_id"] == comps["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.when(F.col("n") > 0, F.coalesce("component", "class_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component, all columns as they are.
+
+    Rows without an id stay if no row with an id is in their component.
+    """
+    of = jaccard_components(docs, words, num, den, id_col, text_col)
+    gone = of.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs[id_col].cast("bigint") == gone["gone"], "left_anti")
