@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, dedup, jaccard, lengths, packing, records, sharding, toxicity
+from . import chat, decontamination, dedup, jaccard, lengths, licences, packing, records, sharding, toxicity
 from .common import shared_dir, table
 
 #: The contract's extra conversation (fixed value), whose texts hold the template's control strings.
@@ -65,6 +65,11 @@ def op9_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.fit(licences.ordinary_sample(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_binary_records,
         op8_token_length_histogram,
         op9_compression_toxicity,
+        op10_license_scan,
     )
 }
 
