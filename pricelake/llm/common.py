@@ -30,10 +30,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts lineage so that a lost executor costs one stage, and keeps rows
-    that Python has made from being made twice.
+    that Python has made from being made twice.  The plan's shuffle files are
+    of no use then; a collection on the driver lets Spark's cleaner delete them.
     """
     path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -10,8 +10,8 @@ what a link needs are left out; what survives is verified on the sets.
 One R-tree over a whole corpus does not prune: with as many groups as it
 needs for a tight bound every query meets every box.  So the index is cut into
 blocks first, by a rule that loses no link.  Two sets that link differ in few
-shingles, D at most at their sizes.  Dealt into D + 1 groups by hash, one group
-at least has the same shingles in both.  A block is all documents with the same
+shingles, D at most at their sizes.  Dealt into more than D groups by hash, one
+group at least has the same shingles in both.  A block is all documents with the same
 shingles in one group, and the R-tree works inside blocks.
 """
 
@@ -81,28 +81,30 @@ def blocks(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """The keys of the blocks that a set is in: class, group and the group's shingles, hashed.
 
     In a class with sets up to b, linked sets differ in D = 2b(den-num)/(den+num)
-    shingles at most.  Of D + 1 groups one is the same in both, and not empty
-    if either set has more than D groups that aren't; sets that have fewer
-    are also in the blocks of their empty groups.
+    shingles at most, so at most D groups differ.  If either set has more than
+    D groups that aren't empty, one of these is the same in both.  There are a
+    few groups more than D + 1, so that nearly every set has so many; one that
+    hasn't is also in the blocks of its empty groups.
     """
     tops, out = size_classes(), []
     where, what = mix(s + _ODD[1]), mix(s + _ODD[2])
     for k in classes_of(len(s), num, den):
         differ = 2 * tops[k] * (den - num) // (den + num)
-        g = (where % np.uint64(differ + 1)).astype(np.int64)
+        groups = differ + 1 + (differ + 7) // 8 + (differ > 0)
+        g = (where % np.uint64(groups)).astype(np.int64)
         order = np.argsort(g, kind="stable")
         full, first = np.unique(g[order], return_index=True)
         sums = np.add.reduceat(what[order], first)
         if len(full) <= differ:
-            empty = np.setdiff1d(np.arange(differ + 1), full)
+            empty = np.setdiff1d(np.arange(groups), full)
             full, sums = np.concatenate([full, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
         out.append(mix(mix(sums + full.astype(np.uint64) * _ODD[3]) + np.uint64((k + 1) * int(_ODD[4]) & 0xFFFFFFFFFFFFFFFF)))
     return np.concatenate(out)
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """A set's count vector: a power of two of groups, as many as shingles or more, by the leading bits of a hash."""
-    bits = max(4, int(len(s) - 1).bit_length())
+    """A set's count vector: a power of two of groups, about one for eight shingles, by the leading bits of a hash."""
+    bits = max(4, int(len(s) - 1).bit_length() - 3)
     return np.bincount((mix(s + _ODD[5]) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
 
 
@@ -116,13 +118,18 @@ def needed(a: np.ndarray | int, b: np.ndarray | int, num: int, den: int) -> np.n
     return -(-num * (a + b) // (num + den))
 
 
+def bound(a: np.ndarray, b: np.ndarray) -> int:
+    """The most that two sets can overlap: the summed minima of their count vectors over the coarser one's groups."""
+    dims = min(len(a), len(b))
+    return int(np.minimum(folded(a, dims), folded(b, dims)).sum())
+
+
 class RTree:
     """A packed R-tree of count vectors, for queries by an upper bound of the overlap."""
 
-    def __init__(self, points: list[np.ndarray], num: int, den: int) -> None:
-        self.num, self.den = num, den
-        self.dims = min(map(len, points))
-        matrix = np.stack([folded(p, self.dims) for p in points])
+    def __init__(self, points: list[np.ndarray], dims: int, num: int, den: int) -> None:
+        self.num, self.den, self.dims = num, den, dims
+        matrix = np.stack([folded(p, dims) for p in points])
         coarse = matrix.reshape(len(matrix), 4, -1).sum(axis=2)
         self.order = np.lexsort((*coarse.T, matrix.sum(axis=1)))
         levels = [(matrix[self.order], matrix.sum(axis=1)[self.order])]
@@ -132,38 +139,65 @@ class RTree:
             levels.append((np.maximum.reduceat(boxes, cuts), np.minimum.reduceat(least, cuts)))
         self.levels = levels[::-1]
 
-    def query(self, p: np.ndarray) -> np.ndarray:
-        """Indices of the points that may link with ``p``, whose size is its sum."""
-        dims = min(self.dims, len(p))
-        q, n = folded(p, dims), int(p.sum())
-        at = np.arange(len(self.levels[0][1]))
+    def query(self, points: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of (number of one of ``points``, index of a point of the tree) that may link.
+
+        A point or box is first held against the query over 16 groups, and if
+        that doesn't exclude it over all.
+        """
+        q = np.stack([folded(p, self.dims) for p in points])
+        q16, sizes = q.reshape(len(q), 16, -1).sum(axis=2), q.sum(axis=1)
+        asks, at = (x.ravel() for x in np.meshgrid(np.arange(len(q)), np.arange(len(self.levels[0][1])), indexing="ij"))
         for depth, (boxes, least) in enumerate(self.levels):
-            rows = boxes[at]
-            if dims != self.dims:
-                rows = rows.reshape(len(at), dims, -1).sum(axis=2)
-            at = at[np.minimum(rows, q).sum(axis=1) >= needed(n, least[at], self.num, self.den)]
-            if depth < len(self.levels) - 1:
-                at = (at[:, None] * _LEAF + np.arange(_LEAF)).ravel()
-                at = at[at < len(self.levels[depth + 1][1])]
-        return self.order[at]
+            if depth:
+                asks, at = np.repeat(asks, _LEAF), (at[:, None] * _LEAF + np.arange(_LEAF)).ravel()
+                real = at < len(least)
+                asks, at = asks[real], at[real]
+            need = needed(sizes[asks], least[at], self.num, self.den)
+            for queries, own in ((q16, boxes.reshape(len(boxes), 16, -1).sum(axis=2)), (q, boxes)):
+                may = _minima(queries, own, asks, at) >= need
+                asks, at, need = asks[may], at[may], need[may]
+        return asks, self.order[at]
+
+
+def _minima(q: np.ndarray, boxes: np.ndarray, asks: np.ndarray, at: np.ndarray, cells: int = 1 << 20) -> np.ndarray:
+    """Summed minima of the rows ``asks`` of ``q`` and ``at`` of ``boxes``, a bounded number of cells at a time."""
+    step = max(1, cells // q.shape[1])
+    parts = [np.minimum(q[asks[i : i + step]], boxes[at[i : i + step]]).sum(axis=1) for i in range(0, len(at), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+#: Sets whose keys a task has already sent are remembered, so many of them.
+_SENT = 1 << 19
 
 
 def signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, set_hash (128 bits), keys of every row of ``docs`` (doc_id, text)."""
+    """doc_id, n, set_hash (128 bits), keys, point of every row of ``docs`` (doc_id, text).
+
+    Of rows with one set a task gives keys and point once, with the first that has an id.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
         for part in parts:
             for ids, texts in batches(part.column(1).to_pylist(), part.column(0).to_pylist()):
                 sets = [shingle_set(t, words) for t in texts]
-                keys = [blocks(s, num, den).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+                hashes = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
+                keys, points = [], []
+                for doc, s, h in zip(ids, sets, hashes):
+                    new = len(s) > 0 and doc is not None and h not in sent
+                    keys.append(blocks(s, num, den).view(np.int64) if new else np.zeros(0, np.int64))
+                    points.append(point(s).tobytes() if new else None)
+                    if new and len(sent) < _SENT:
+                        sent.add(h)
                 ends = np.cumsum([0, *map(len, keys)])
                 flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
-                    names=["doc_id", "n", "set_hash", "keys"],
+                    [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(points, pa.binary())],
+                    names=["doc_id", "n", "set_hash", "keys", "point"],
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, set_hash binary, keys array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, set_hash binary, keys array<bigint>, point binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int, part: int = 64) -> DataFrame:
@@ -203,12 +237,15 @@ def tile_search(members: DataFrame, num: int, den: int) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple[int, int]]:
-            tree = RTree([p for _, _, p in held], num, den)
-            nodes, comps = np.array([x[0] for x in held]), np.array([x[1] for x in held])
-            for node, comp, p in asking or held:
-                got = tree.query(p)
-                for other in nodes[got[comps[got] != comp]]:
-                    yield min(node, other), max(node, other)
+            dims = min(len(p) for _, _, p in [*held, *asking])
+            tree = RTree([p for _, _, p in held], dims, num, den)
+            asked = asking or held
+            i, j = tree.query([p for _, _, p in asked])
+            node, comp = (np.array([x[k] for x in held]) for k in (0, 1))
+            own, own_comp = (np.array([x[k] for x in asked]) for k in (0, 1))
+            apart = own_comp[i] != comp[j]
+            one, two = own[i[apart]], node[j[apart]]
+            return zip(np.minimum(one, two).tolist(), np.maximum(one, two).tolist())
 
         at, held, asking, out = None, [], [], set()
         for batch in parts:
@@ -232,14 +269,17 @@ def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def _points(texts: DataFrame, words: int) -> DataFrame:
-    """node, point of ``texts``."""
+def not_excluded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose count vectors (``points``: node, point) allow a link."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([point(shingle_set(t, words)).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["node", "point"])
+            p, q = ([np.frombuffer(x, np.uint16) for x in part.column(i).to_pylist()] for i in (2, 3))
+            may = [bound(x, y) >= needed(int(x.sum()), int(y.sum()), num, den) for x, y in zip(p, q)]
+            yield part.select(["a", "b"]).filter(pa.array(may, pa.bool_()))
 
-    return texts.mapInArrow(run, "node bigint, point binary")
+    rows = pairs.join(points.toDF("a", "p"), "a").join(points.toDF("b", "q"), "b").select("a", "b", "p", "q")
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def _tiles(members: DataFrame) -> DataFrame:
@@ -264,6 +304,11 @@ def _tiles(members: DataFrame) -> DataFrame:
     return rows.select("key", "t.tile", "t.asks", "node", "component")
 
 
+def _component_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component of all ``nodes``."""
+    return materialise(nodes.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
+
+
 def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id, component_id for each row of ``docs``; sets link when den * overlap >= num * union.
 
@@ -271,13 +316,15 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     smallest id reachable over links.  Steps, each on slim columns:
 
     1. Sets, sizes, block keys of all rows, from whole texts (written once).
-    2. Every block's smallest id is its head; each member is paired with it.
-       Pairs are folded to classes of equal sets and verified.
+    2. Every block's smallest id is its head.  Each member (folded to classes
+       of equal sets) is verified against that of its heads with which it
+       shares most blocks.
     3. Components of the links found.  In a block whose members all fell into
        one component nothing is left to find.
     4. In the others, members outside the head's component search the block's
        R-tree (in tiles where a block is large); what it can't exclude is
-       verified, and the components are completed.
+       verified, one survivor for each node and component first, then those
+       that still lie between components, and the components are completed.
 
     So no link between different components is lost, and members of a group
     of copies are not paired with each other.
@@ -294,32 +341,46 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     slim = sigs.select("doc_id", "n", "set_hash").join(classes, "set_hash", "left")
     slim = materialise(slim.select("doc_id", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")), "classes")
 
-    posts = sigs.where("doc_id is not null").select("doc_id", F.explode("keys").alias("key"))
-    heads = posts.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select("key", "head")
-    multi = materialise(posts.join(heads, "key").where("doc_id <> head").select("key", "doc_id", "head"), "blocks")
-
     node = slim.where("n > 0 and doc_id is not null").select("doc_id", F.col("class_id").alias("node"), "n").distinct()
-    near = multi.select("doc_id", "head").distinct()
-    near = near.join(node.toDF("doc_id", "a", "a_n"), "doc_id").join(node.toDF("head", "b", "b_n"), "head")
-    near = near.where(F.col("a") != F.col("b")).where(f"{num} * greatest(a_n, b_n) <= {den} * least(a_n, b_n)")
-    pairs = materialise(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    posts = sigs.select("doc_id", F.explode("keys").alias("key"))
+    heads = posts.groupBy("key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "head")
+    member = posts.join(heads, "key").where("doc_id <> head")
+    member = member.join(node.toDF("doc_id", "node", "size"), "doc_id").join(node.toDF("head", "head_node", "head_size"), "head").where("node <> head_node")
+    member = materialise(member.select("key", "node", "size", "head_node", "head_size").distinct(), "blocks")
+
+    fits = member.where(f"{num} * greatest(size, head_size) <= {den} * least(size, head_size)")
+    shared = fits.groupBy("node", "head_node").agg(F.count(F.lit(1)).alias("shared"))
+    best = shared.groupBy("node").agg(F.max_by("head_node", F.struct("shared", -F.col("head_node"))).alias("head_node"))
+    pairs = best.select(F.least("node", "head_node").alias("a"), F.greatest("node", "head_node").alias("b")).distinct()
+    asked = member.select("node").union(member.select("head_node")).distinct()
+    points = sigs.where("point is not null").select("doc_id", "point").join(node, "doc_id").join(asked, "node", "left_semi")
+    points = materialise(points.groupBy("node").agg(F.min("point").alias("point")), "points")
+    pairs = materialise(not_excluded(pairs, points, num, den), "pairs")
     texts = materialise(rows.join(asked, rows["doc_id"] == asked["node"], "left_semi").select(F.col("doc_id").alias("node"), "text"), "candidates")
     links = materialise(verified(pairs, texts, words, num, den), "links")
 
-    comps = components(links)
-    of = materialise(node.join(comps, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component")), "components")
-    head_of = of.select(F.col("doc_id").alias("head"), F.col("node").alias("head_node"), F.col("component").alias("head_component"))
-    members = multi.join(of, "doc_id").select("key", "head", "node", "component").join(head_of, "head")
-    members = members.where("node <> head_node").select("key", "node", "component", "head_component").distinct()
-    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    members = materialise(members.join(mixed, "key"), "mixed")
-    points = _points(texts.join(members.select("node").distinct(), "node"), words)
-    more = materialise(tile_search(_tiles(members).join(points, "node").select("key", "tile", "asks", "node", "component", "point"), num, den), "survivors")
-    found = verified(more, texts, words, num, den)
+    of = _component_of(asked, links)
+    head_of = of.select(F.col("node").alias("head_node"), F.col("component").alias("head_component"))
+    every = member.select("key", "node", "head_node").unionByName(member.select("key", F.col("head_node").alias("node"), "head_node").distinct())
+    every = every.distinct().join(of, "node").join(head_of, "head_node").select("key", "node", "component", "head_component")
+    # blocks with the same members are searched once
+    mixed = every.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"),
+        *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (1, 2)],
+    )
+    mixed = mixed.where("lo < hi").groupBy("c", "x1", "x2").agg(F.min("key").alias("key")).select("key")
+    every = materialise(every.join(mixed, "key"), "mixed")
+    open_ = materialise(tile_search(_tiles(every).join(points, "node").select("key", "tile", "asks", "node", "component", "point"), num, den), "survivors")
+    # of a node's survivors one in each other component is verified first; that leaves few for the rest
+    known = open_.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b")
+    first = materialise(known.groupBy("a", "cb").agg(F.min("b").alias("b")).select("a", "b"), "first")
+    links = materialise(links.unionByName(verified(first, texts, words, num, den)), "links")
+    of = _component_of(asked, links)
+    rest = open_.join(first, ["a", "b"], "left_anti").join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").where("ca <> cb").select("a", "b")
+    found = verified(materialise(rest, "rest"), texts, words, num, den)
     # rows that share an id but not a set tie their classes together
-    first = node.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("doc_id", "a")
-    ties = node.join(first, "doc_id").select("a", F.col("node").alias("b"))
+    shared_ids = node.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("doc_id", "a")
+    ties = node.join(shared_ids, "doc_id").select("a", F.col("node").alias("b"))
     comps = components(links.unionByName(found).unionByName(ties))
     out = slim.join(comps, slim["class_id"] == comps["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.when(F.col("n") > 0, F.coalesce("component", "class_id")).otherwise(F.col("doc_id")).alias("component_id"))
