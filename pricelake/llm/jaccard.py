@@ -103,9 +103,19 @@ def blocks(s: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """A set's count vector: a power of two of groups, about one for eight shingles, by the leading bits of a hash."""
-    bits = max(4, int(len(s) - 1).bit_length() - 3)
-    return np.bincount((mix(s + _ODD[5]) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
+    """A set's count vector: a power of two of groups, about one for two shingles, by the leading bits of a hash."""
+    bits = max(4, int(len(s) - 1).bit_length() - 1)
+    return np.bincount((mix(s + _ODD[5]) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+
+
+def packed(p: np.ndarray) -> bytes:
+    """A count vector with as many bytes a group as its largest count needs, and that number first."""
+    kind = np.min_scalar_type(int(p.max()))
+    return bytes([kind.itemsize]) + p.astype(kind).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"u{raw[0]}", offset=1)
 
 
 def folded(p: np.ndarray, dims: int) -> np.ndarray:
@@ -187,7 +197,7 @@ def signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 for doc, s, h in zip(ids, sets, hashes):
                     new = len(s) > 0 and doc is not None and h not in sent
                     keys.append(blocks(s, num, den).view(np.int64) if new else np.zeros(0, np.int64))
-                    points.append(point(s).tobytes() if new else None)
+                    points.append(packed(point(s)) if new else None)
                     if new and len(sent) < _SENT:
                         sent.add(h)
                 ends = np.cumsum([0, *map(len, keys)])
@@ -254,7 +264,7 @@ def tile_search(members: DataFrame, num: int, den: int) -> DataFrame:
                     if held:
                         out.update(found())
                     at, held, asking = (key, tile), [], []
-                (asking if asks else held).append((node, comp, np.frombuffer(raw, np.uint16)))
+                (asking if asks else held).append((node, comp, unpacked(raw)))
             if len(out) > 50_000:
                 yield _pairs(out)
                 out = set()
@@ -274,7 +284,7 @@ def not_excluded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> Dat
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            p, q = ([np.frombuffer(x, np.uint16) for x in part.column(i).to_pylist()] for i in (2, 3))
+            p, q = ([unpacked(x) for x in part.column(i).to_pylist()] for i in (2, 3))
             may = [bound(x, y) >= needed(int(x.sum()), int(y.sum()), num, den) for x, y in zip(p, q)]
             yield part.select(["a", "b"]).filter(pa.array(may, pa.bool_()))
 

@@ -126,7 +126,7 @@ class LicenceModel:
     threshold: float = 0.5
 
     def features(self, units: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(unit, feature) of each known word and pair, and how many words and pairs each unit has at all."""
+        """(unit, feature) of each known word and pair, once, and how many words and pairs each unit has at all."""
         n = np.fromiter(map(len, units), np.int64, len(units))
         ids = np.fromiter((i for u in units for i in map(self.vocabulary.get, u, repeat(-1))), np.int64, int(n.sum()))
         unit = np.repeat(np.arange(len(units)), n)
@@ -135,7 +135,9 @@ class LicenceModel:
         key = ids[two] * len(self.vocabulary) + ids[two + 1]
         k = np.minimum(np.searchsorted(self.pair_keys, key), max(0, len(self.pair_keys) - 1))
         hit = self.pair_keys[k] == key if len(self.pair_keys) else np.zeros(0, bool)
-        return np.concatenate([unit[known], unit[two[hit]]]), np.concatenate([ids[known], len(self.vocabulary) + k[hit]]), np.maximum(1, 2 * n - 1)
+        size = len(self.vocabulary) + len(self.pair_keys)
+        once = np.unique(np.concatenate([unit[known] * size + ids[known], unit[two[hit]] * size + len(self.vocabulary) + k[hit]]))
+        return once // max(1, size), once % max(1, size), np.maximum(1, 2 * n - 1)
 
     def logits(self, units: list[list[str]]) -> np.ndarray:
         unit, feature, total = self.features(units)
@@ -162,7 +164,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def examples(ordinary: list[str], variants: int = 24) -> tuple[list[list[str]], np.ndarray]:
+def examples(ordinary: list[str], variants: int = 60) -> tuple[list[list[str]], np.ndarray]:
     """Word lists and classes: templates, their sentences, stretches and edited forms; ordinary paragraphs and look-alikes as unknown."""
     draw, units, labels = random.Random(7), [], []
     filler = sorted({w for t in ordinary[:200] for w in words_of(t)}) or ["holder"]
@@ -178,9 +180,9 @@ def examples(ordinary: list[str], variants: int = 24) -> tuple[list[list[str]],
             parts = [words_of(t)] + [w for m in _SENTENCE.finditer(t) if len(w := words_of(m[0])) > 3]
             for _ in range(variants):
                 w = list(draw.choice(parts))
-                if len(w) > 12 and draw.random() < 0.5:
-                    at = draw.randrange(len(w) - 10)
-                    w = w[at : at + draw.randint(10, 30)]
+                if len(w) > 10 and draw.random() < 0.6:
+                    at = draw.randrange(len(w) - 8)
+                    w = w[at : at + draw.randint(8, 30)]
                 w = [x for x in w if draw.random() > 0.05]
                 for _ in range(draw.randrange(3)):
                     w.insert(draw.randrange(len(w) + 1), draw.choice(filler))
@@ -191,7 +193,10 @@ def examples(ordinary: list[str], variants: int = 24) -> tuple[list[list[str]],
                 add(p, family)
     for t in ordinary:
         add(words_of(t), UNKNOWN)
-    for _ in range(variants):
+    for w in every:  # one or two words alone say nothing
+        add([w], UNKNOWN)
+        add([w, draw.choice(filler)], UNKNOWN)
+    for _ in range(variants // 3):
         for t in OTHER:
             add([x for x in words_of(t) if draw.random() > 0.05], UNKNOWN)
         for _ in range(12):  # licence words in no order, among ordinary ones
@@ -199,7 +204,7 @@ def examples(ordinary: list[str], variants: int = 24) -> tuple[list[list[str]],
     return units, np.array(labels)
 
 
-def fit(ordinary: list[str], rounds: int = 160, rate: float = 0.4, ridge: float = 1e-4) -> LicenceModel:
+def fit(ordinary: list[str], rounds: int = 120, rate: float = 0.4, ridge: float = 1e-4) -> LicenceModel:
     """Multinomial logistic regression on four fifths of the examples; temperature and threshold from the rest.
 
     ``ordinary`` are paragraphs without a licence.  The temperature makes the
