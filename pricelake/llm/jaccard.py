@@ -354,6 +354,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     node = slim.where("n > 0 and doc_id is not null").select("doc_id", F.col("class_id").alias("node"), "n").distinct()
     posts = sigs.select("doc_id", F.explode("keys").alias("key"))
     heads = posts.groupBy("key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "head")
+    heads = materialise(heads, "heads")  # its shuffle goes before the next one of as many rows
     member = posts.join(heads, "key").where("doc_id <> head")
     member = member.join(node.toDF("doc_id", "node", "size"), "doc_id").join(node.toDF("head", "head_node", "head_size"), "head").where("node <> head_node")
     member = materialise(member.select("key", "node", "size", "head_node", "head_size").distinct(), "blocks")
