@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import string
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -179,11 +180,29 @@ class ToxicityModel:
     weights: tuple[float, ...]
 
 
+def without_copies(labelled: list[tuple[str, int]], size: int = 16) -> list[tuple[str, int]]:
+    """The texts that share under half of their ``size`` smallest word hashes with an earlier one.
+
+    Copies repeat their own rare words, which would then seem to mark their class.
+    """
+    seen: dict[int, list[int]] = {}
+    out = []
+    for k, (text, label) in enumerate(labelled):
+        sketch = sorted({zlib.crc32(w) for w in windows(text)})[:size]
+        shared = Counter(i for h in sketch for i in seen.get(h, ()))
+        if not shared or 2 * max(shared.values()) < len(sketch):
+            out.append((text, label))
+            for h in sketch:
+                seen.setdefault(h, []).append(k)
+    return out
+
+
 def fit(labelled: list[tuple[str, int]]) -> ToxicityModel:
-    """Dictionaries from all of ``labelled``; the calibration from two halves, each scored by the other's dictionaries.
+    """Dictionaries from all of ``labelled`` but near copies; the calibration from two halves, each scored by the other's dictionaries.
 
     Without any toxic or without any ordinary text the score is the base rate.
     """
+    labelled = without_copies(labelled)
     halves = [labelled[0::2], labelled[1::2]]
     tallies = [Tally.of(h) for h in halves]
     x, y = [[1.0, 0.0, 0.0, 0.0]], [0.0]
