@@ -4,7 +4,8 @@ File format, all numbers little-endian:
 
 record file   for each record: length (uint64), masked CRC-32 of those 8 bytes
               (uint32), payload, masked CRC-32 of the payload (uint32)
-payload       has an id (uint8), id (int64), number of ids (uint32), ids (uint32 each)
+payload       has an id (uint8), id (int64), bytes of a token id (uint8), number of ids (uint32),
+              ids (uint16 each if the vocabulary and the end id fit in 16 bits, else uint32)
 index file    the byte offset of each record (uint64 each), then the file's length
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import batches, id_text, materialise
 from .tokens import encoder
 
-_HEAD, _PAYLOAD = struct.Struct("<QI"), struct.Struct("<BqI")
+_HEAD, _PAYLOAD = struct.Struct("<QI"), struct.Struct("<BqBI")
 _MANIFEST = "shard int, path string, documents bigint, tokens bigint, bytes bigint"
 _READ = "shard int, doc_id bigint, start_in_shard bigint, n_tokens bigint, ids_crc32 bigint"
 
@@ -55,13 +56,19 @@ def read_record(f, offset: int | None = None) -> bytes | None:
     return body[:n]
 
 
-def payload_of(doc: int | None, ids: np.ndarray, end_id: int) -> bytes:
-    return _PAYLOAD.pack(doc is not None, doc or 0, len(ids) + 1) + np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
+def id_width(vocabulary: int, end_id: int) -> int:
+    """Bytes of a token id in the files: 2 where every id of the vocabulary and the end id fit, else 4."""
+    return 2 if max(vocabulary - 1, end_id) < 1 << 16 else 4
+
+
+def payload_of(doc: int | None, ids: np.ndarray, end_id: int, width: int = 4) -> bytes:
+    return _PAYLOAD.pack(doc is not None, doc or 0, width, len(ids) + 1) + np.append(ids, np.uint32(end_id)).astype(f"<u{width}").tobytes()
 
 
 def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
-    has, doc, n = _PAYLOAD.unpack_from(payload)
-    return (doc if has else None), np.frombuffer(payload, "<u4", n, _PAYLOAD.size)
+    """The id and the token ids, as little-endian uint32 whatever their width in the file."""
+    has, doc, width, n = _PAYLOAD.unpack_from(payload)
+    return (doc if has else None), np.frombuffer(payload, f"<u{width}", n, _PAYLOAD.size).astype("<u4")
 
 
 def _verified(f, offsets: list[int], seen: int) -> tuple[list[list], int]:
@@ -100,6 +107,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.jso
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, offsets, at, tokens, shard = encoder(tokenizer), [], 0, 0, None
+        width = id_width(enc.largest_id + 1, end_id)
         where, root = fs.FileSystem.from_uri(path)
         name = f"{root}/part-{uuid.uuid4().hex}"
         out = None
@@ -112,7 +120,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.jso
                 out = where.open_output_stream(f"{name}.rec")
             for ids, texts in batches(part.column(1).to_pylist(), part.column(0).to_pylist()):
                 for doc, got in zip(ids, enc.encode(texts)):
-                    raw = frame(payload_of(doc, got, end_id))
+                    raw = frame(payload_of(doc, got, end_id, width))
                     out.write(raw)
                     offsets.append(at)
                     at += len(raw)

@@ -46,6 +46,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.largest_id = max(self.tokenizer.get_vocab().values(), default=0)
         kept = self.tokenizer.encode("a b", add_special_tokens=False).offsets
         self.split = (_SPACED if kept[-1][0] == 1 else _WORD).findall
         self._clear()

@@ -240,3 +240,16 @@ def test_pipeline_keeps_and_drops(spark, sf_dir):
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
     assert corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().count() > 100
+
+
+def test_record_widths():
+    import numpy as np
+
+    ids = np.array([0, 65_535, 7], np.uint32)
+    assert records.id_width(50_257, 0) == records.id_width(65_536, 0) == 2
+    assert records.id_width(65_537, 0) == records.id_width(100, 65_536) == 4
+    for width in (2, 4):
+        doc, back = records.unpack(records.payload_of(5, ids, 1, width))
+        assert doc == 5 and back.dtype == np.dtype("<u4") and back.tolist() == [0, 65_535, 7, 1]
+    doc, back = records.unpack(records.payload_of(None, np.array([70_000], np.uint32), 0))
+    assert doc is None and back.tolist() == [70_000, 0]
