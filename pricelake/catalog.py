@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import events, offers
+from .plans import events, market, offers
 
-QUERIES = offers.QUERIES | events.QUERIES
-SQL = offers.SQL | events.SQL
+QUERIES = offers.QUERIES | market.QUERIES | events.QUERIES
+SQL = offers.SQL | market.SQL | events.SQL

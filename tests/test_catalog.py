@@ -64,3 +64,19 @@ def test_hourly_counts_and_validation(spark, sf_dir):
 
     e = read(spark, sf_dir, "events")
     assert hourly_counts(valid_events(e)).agg({"n": "sum"}).first()[0] == e.count()
+
+
+def test_upsert_outcomes(spark):
+    from pricelake.operators import merge
+
+    base = spark.createDataFrame([(1, 10.0), (2, None), (3, 5.0)], "k long, price double")
+    staged = spark.createDataFrame([(1, 11.0), (2, None), (4, 7.0)], "k long, price double")
+    got = merge.upsert(base, staged, ["k"], ["price"])
+    assert {r.k: (r.price, r.outcome, r.queued) for r in got.collect()} == {1: (11.0, "updated", True), 2: (None, "unchanged", False), 3: (5.0, "kept", False), 4: (7.0, "inserted", True)}
+
+
+def test_survivors_ties_and_missing_keys(spark):
+    from pricelake.operators import merge
+
+    rows = spark.createDataFrame([(1, "a", 2), (2, "a", 5), (3, "a", 5), (4, None, 1), (5, None, 9)], "product_id long, identity_key string, offers long")
+    assert {r.product_id: r.survivor_id for r in merge.survivors(rows).collect()} == {1: 2, 2: 2, 3: 2, 4: 4, 5: 5}
