@@ -217,6 +217,36 @@ def test_toxicity_edges(spark):
     assert toxicity.score(empty_docs(spark), toxicity.fit([])).count() == 0
 
 
+def test_toxicity_whole_words_and_runs():
+    """Marks whose letters ordinary words have too, and a run of ordinary words; texts share no other words by class."""
+    rng = np.random.default_rng(7)
+    common = [f"{a}{b}{c}" for a in ("achlich", "bomente", "tionerl", "veschau") for b in ("kei", "dor", "pfalt", "sei", "must", "vie") for c in ("ten", "ung", "er", "en", "el", "ster", "lich", "nis")]
+
+    def text(extra=""):
+        return " ".join([*rng.permutation(common)[:12], *([extra] if extra else []), f"n{rng.integers(10**6)}", f"m{rng.integers(10**6)}"])
+
+    toxic = [text("achlichpfalte") if i % 2 else text("quiet lamp stone") for i in range(60)]
+    plain = [text(("quiet stone", "lamp quiet", "stone lamp", "achlichpfalter")[i % 4]) for i in range(200)]
+    m = toxicity.fit([(t, 1) for t in toxic] + [(t, 0) for t in plain])
+    assert {b"achlichpfalte", b"quiet lamp"} <= set(m.dictionaries.wholes)
+    d = toxicity.Distances(m.dictionaries)
+
+    def score(t):
+        return 1 / (1 + np.exp(-(np.array(toxicity.features(*d.of(t))) @ np.array(m.weights))))
+
+    assert all(score(text(e)) >= 0.3 for e in ("achlichpfalte", "quiet lamp stone") for _ in range(20))
+    assert all(score(text(e)) < 0.3 for e in ("", "quiet stone", "stone lamp quiet") for _ in range(20))
+
+
+def test_toxicity_dictionary_grows():
+    """All marks enter, however many bytes they take."""
+    rng = np.random.default_rng(9)
+    marks = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 14)) for _ in range(300)]
+    t = toxicity.Tally.of([(" ".join(marks[i % 10 :: 10]), 1) for i in range(120)] + [(f"calm day {i}", 0) for i in range(300)], set())
+    d = toxicity.train_dictionaries(t)
+    assert len(d.toxic) - len(d.ordinary) > 2048 and all(w.encode() in d.toxic for w in marks)
+
+
 def test_licences(spark, sf_dir):
     m = licences.fit([f"ordinary words number {i} about weather and food" for i in range(300)])
     rows = [(1, "x y z\nReleased under the MIT License.\nmore"), (2, "Licensed under CC BY-NC 4.0."), (3, None), (4, ""), (None, "Licensed under the Apache License, Version 2.0."), (5, "The The The The The"), (6, "His driving license expired.")]
