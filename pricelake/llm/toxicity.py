@@ -237,14 +237,17 @@ class ToxicityModel:
 
 
 def without_copies(labelled: list[tuple[str, int]], size: int = 16) -> list[tuple[str, int]]:
-    """The texts that share under half of their ``size`` smallest word hashes with an earlier one.
+    """The texts that share under half of their ``size`` smallest hashes of five words in a row with an earlier one.
 
+    Single words would not do: texts of one language share their common ones.
     Copies repeat their own rare words, which would then seem to mark their class.
     """
     seen: dict[int, list[int]] = {}
     out = []
     for k, (text, label) in enumerate(labelled):
-        sketch = sorted({zlib.crc32(w) for w in windows(text)})[:size]
+        words = windows(text)
+        n = min(5, len(words))
+        sketch = sorted({zlib.crc32(b" ".join(words[i : i + n])) for i in range(len(words) - n + 1)} if n else ())[:size]
         shared = Counter(i for h in sketch for i in seen.get(h, ()))
         if not shared or 2 * max(shared.values()) < len(sketch):
             out.append((text, label))

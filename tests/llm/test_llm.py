@@ -247,6 +247,16 @@ def test_toxicity_dictionary_grows():
     assert len(d.toxic) - len(d.ordinary) > 2048 and all(w.encode() in d.toxic for w in marks)
 
 
+def test_toxicity_copies_are_not_common_words():
+    """Other texts of the same few words stay; an edited copy goes."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in rng.permutation(40)) for _ in range(30)]
+    edited = texts[0].split()
+    edited[7] = "other"
+    kept = toxicity.without_copies([(t, 0) for t in [*texts, texts[3], " ".join(edited)]])
+    assert [t for t, _ in kept] == texts
+
+
 def test_licences(spark, sf_dir):
     m = licences.fit([f"ordinary words number {i} about weather and food" for i in range(300)])
     rows = [(1, "x y z\nReleased under the MIT License.\nmore"), (2, "Licensed under CC BY-NC 4.0."), (3, None), (4, ""), (None, "Licensed under the Apache License, Version 2.0."), (5, "The The The The The"), (6, "His driving license expired.")]
