@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
 The test items are a stated query set: they are dealt into blocks of a bounded
 number of words, and each block is held against all documents.  Only a block's
@@ -14,7 +14,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
@@ -64,7 +64,10 @@ def grams(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Block:
-    """Items by number, the ids of their words, and their seeds: sorted keys with the items and places of each."""
+    """Items by number, the ids of their words, and their seeds, which are all their n-grams: sorted keys with the items and places of each.
+
+    An item shorter than n is a seed as it stands.
+    """
 
     items: dict[int, np.ndarray]
     vocabulary: dict[str, int]
@@ -80,17 +83,12 @@ class Block:
             ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)], np.int64)
             if len(ids):
                 items[item] = ids
-        return cls(items, vocabulary, n).seeded(None)
-
-    def seeded(self, rare: dict[int, set[int]] | None) -> "Block":
-        """The same items with only their rare seeds (None: every n-gram). An item shorter than n is a seed as it stands."""
         at: dict[int, list[tuple[int, int]]] = {}
-        for item, ids in self.items.items():
-            for place, key in zip(*grams(ids, min(self.n, len(ids)))):
-                if rare is None or int(key) in rare[item]:
-                    at.setdefault(int(key), []).append((item, int(place)))
+        for item, ids in items.items():
+            for place, key in zip(*grams(ids, min(n, len(ids)))):
+                at.setdefault(int(key), []).append((item, int(place)))
         keys = np.array(sorted(at), np.int64)
-        return Block(self.items, self.vocabulary, self.n, keys, [at[int(k)] for k in keys])
+        return cls(items, vocabulary, n, keys, [at[int(k)] for k in keys])
 
     def lengths(self) -> list[int]:
         """The lengths of n-gram that occur as seeds."""
@@ -114,16 +112,27 @@ def passages(block: Block, words: list[str], threshold: float) -> list[tuple[int
 
     Around a seed three item lengths are aligned, as an alignment that scores
     enough has at most an item's length of gaps.  Windows with too few of the
-    item's words to reach the threshold are left out before they are aligned.
+    item's words to reach the threshold are left out before they are aligned,
+    each word counted as often as both have it; so common seeds cost little.
     """
     ids = block.ids(words)
-    spans: dict[int, list[tuple[int, int]]] = {}
+    seeds: dict[int, set[tuple[int, int]]] = {}
     for at, seed in block.hits(ids):
         for item, place in block.places[seed]:
             n = len(block.items[item])
-            lo, hi = max(0, at - place - n), min(len(ids), at - place + 2 * n)
+            seeds.setdefault(item, set()).add((max(0, at - place - n), min(len(ids), at - place + 2 * n)))
+    spans: dict[int, list[tuple[int, int]]] = {}
+    for item, windows in seeds.items():
+        inside, often = np.unique(block.items[item], return_counts=True)
+        where = np.flatnonzero(np.isin(ids, inside))
+        which = np.searchsorted(inside, ids[where])
+        need = threshold * len(block.items[item])
+        for lo, hi in sorted(windows):
+            first, end = np.searchsorted(where, (lo, hi))
+            if end - first < need or np.minimum(np.bincount(which[first:end], minlength=len(inside)), often).sum() < need:
+                continue
             own = spans.setdefault(item, [])
-            if own and lo <= own[-1][1] and own[-1][0] <= lo:
+            if own and lo <= own[-1][1]:
                 own[-1] = (own[-1][0], max(hi, own[-1][1]))
             else:
                 own.append((lo, hi))
@@ -131,11 +140,7 @@ def passages(block: Block, words: list[str], threshold: float) -> list[tuple[int
     for item, windows in spans.items():
         b, best = block.items[item], (0, 0, 0, 0)
         need = threshold * _MATCH * len(b)
-        inside = np.unique(b)
-        reach = np.concatenate([[0], np.cumsum(np.isin(ids, inside))]) * _MATCH
-        for lo, hi in set(windows):
-            if reach[hi] - reach[lo] < need:
-                continue
+        for lo, hi in windows:
             got, i, j = align(ids[lo:hi], b)
             if got >= need and got > best[0]:
                 _, back, _ = align(ids[lo : lo + i][::-1], b[:j][::-1])
@@ -161,59 +166,25 @@ def _numbered(rows: list[tuple[int, str]]) -> tuple[list[int], list[tuple[int, s
     return [i for i, _ in rows], [(k, text) for k, (_, text) in enumerate(rows)]
 
 
-def _frequencies(docs: DataFrame, text_col: str, block: Block) -> DataFrame:
-    """seed, documents: in how many of all documents each n-gram of the block occurs."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(block.keys), np.int64)
-        for part in parts:
-            for text in part.column(0).to_pylist():
-                if found := {seed for _, seed in block.hits(block.ids(words_of(text)))}:
-                    n[list(found)] += 1
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["seed", "documents"])
-
-    return docs.select(docs[text_col].alias("text")).mapInArrow(run, "seed bigint, documents bigint").groupBy("seed").agg(F.sum("documents").alias("documents"))
-
-
-def rare_block(docs: DataFrame, text_col: str, block: Block, share: float) -> Block:
-    """The block with rare seeds: n-grams in at most ``share`` of all documents, and of each item the rarest half anyway.
-
-    The second rule keeps items that many documents copy, and items made of
-    common words.
-    """
-    spark = docs.sparkSession
-    total = docs.count()
-    own = spark.createDataFrame([(k, item, place) for k, at in enumerate(block.places) for item, place in at], "seed bigint, item bigint, place bigint")
-    own = own.join(F.broadcast(_frequencies(docs, text_col, block)), "seed", "left").fillna(0, ["documents"])
-    by = Window.partitionBy("item")
-    own = own.withColumns({"rank": F.row_number().over(by.orderBy("documents", "place")), "n": F.count(F.lit(1)).over(by)})
-    kept = own.where((F.col("documents") <= share * total) | (F.col("rank") * 2 <= F.col("n") + 1))
-    rare: dict[int, set[int]] = {i: set() for i in block.items}
-    for r in kept.select("item", "seed").toLocalIterator():
-        rare[r["item"]].add(int(block.keys[r["seed"]]))
-    return block.seeded(rare)
-
-
-def _prepared(docs: DataFrame, items: DataFrame, n: int, share: float, item_col: str, text_col: str) -> Iterator[tuple[list[int], Block]]:
+def _prepared(items: DataFrame, n: int, item_col: str) -> Iterator[tuple[list[int], Block]]:
     for rows in _blocks(items, item_col, "text"):
         names, rows = _numbered(rows)
         if (block := Block.of(rows, n)).items:
-            yield names, rare_block(docs, text_col, block, share)
+            yield names, block
 
 
-def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, share: float = 0.001, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """doc_id, item_id, score, start, end, passage: each item that a document holds, with its place.
 
     Score: the Smith-Waterman score of item and passage by words (match 2,
     other word or gap -1) over that of an unchanged copy; at least
     ``threshold``.  An item copied with a third of its words changed scores
     0.5.  `start` and `end` are characters of the text, `passage` what stands
-    there.  Only places with a rare seed are aligned (see `rare_block`): a
-    copy with no n words in a row of the item left is not found.
+    there.  Only places with a seed are aligned, and all n-grams of an item
+    are seeds: only a copy with no n words in a row of the item left is not
+    found.
 
-    Documents are read twice, for frequencies and for alignment, and never
-    shuffled; what is shuffled is a count for each seed and task.
+    Documents are read once and never shuffled.
 
     Null, empty and wordless texts hold nothing, and such items (or items
     without an id) are in nothing.  Items shorter than ``n`` words are found
@@ -224,7 +195,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, share: float = 0
     """
     out = None
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
-    for names, block in _prepared(docs, items, n, share, item_col, text_col):
+    for names, block in _prepared(items, n, item_col):
         got = rows.mapInArrow(_search(names, block, threshold), _FOUND)
         out = got if out is None else out.unionByName(got)
     return out if out is not None else docs.sparkSession.createDataFrame([], _FOUND)
@@ -254,11 +225,10 @@ def _search(names: list[int], block: Block, threshold: float):
     return run
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 3, share: float = 0.001, threshold: float = 0.5, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 3, threshold: float = 0.5, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of ``docs`` that hold no item, all columns as they are, filtered where they are read."""
     at, schema = docs.columns.index(text_col), docs.schema
-    source = docs
-    for _, block in _prepared(source, items, n, share, item_col, text_col):
+    for _, block in _prepared(items, n, item_col):
 
         def run(parts: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             for part in parts:

@@ -127,6 +127,17 @@ def test_decontamination_equals_brute_force(spark, sf_dir):
     assert {r.doc_id for r in decontamination.drop_contaminated(d, b).collect()} == {x for x, _ in docs} - {x for x, _ in want}
 
 
+def test_decontamination_finds_edits_of_a_common_item(spark):
+    """An item copied whole into many documents, and copies with each half edited."""
+    item = [f"i{k}" for k in range(40)]
+    first = [f"x{k}" if k in (2, 5, 8, 11, 14, 17, 20) else w for k, w in enumerate(item)]
+    last = [f"x{k}" if k in (19, 22, 25, 28, 31, 34, 37) else w for k, w in enumerate(item)]
+    docs = [(k, "before " + " ".join(item) + " after") for k in range(20)] + [(100, " ".join(first)), (101, " ".join(last)), (102, " ".join(item[::-1]))]
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: round(r.score, 6) for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {d: round(brute_sw(t.split(), item) / 80, 6) for d, t in docs if d != 102}
+
+
 def test_decontamination_edges(spark):
     items = spark.createDataFrame([(1, "a b c"), (2, None), (None, "a b c"), (3, "")], "item_id long, text string")
     got = sorted({(r.doc_id or 0, r.item_id) for r in decontamination.contaminated(edge_docs(spark), items).collect()})
