@@ -280,7 +280,7 @@ def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def not_excluded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose count vectors (``points``: node, point) allow a link."""
+    """Those of ``pairs`` (a, b) of which some count vectors (``points``: node, point) allow a link."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -289,7 +289,7 @@ def not_excluded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> Dat
             yield part.select(["a", "b"]).filter(pa.array(may, pa.bool_()))
 
     rows = pairs.join(points.toDF("a", "p"), "a").join(points.toDF("b", "q"), "b").select("a", "b", "p", "q")
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _tiles(members: DataFrame) -> DataFrame:
@@ -365,7 +365,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     pairs = best.select(F.least("node", "head_node").alias("a"), F.greatest("node", "head_node").alias("b")).distinct()
     asked = member.select("node").union(member.select("head_node")).distinct()
     points = sigs.where("point is not null").select("doc_id", "point").join(node, "doc_id").join(asked, "node", "left_semi")
-    points = materialise(points.groupBy("node").agg(F.min("point").alias("point")), "points")
+    points = materialise(points.select("node", "point").distinct(), "points")  # several where one id has several texts
     pairs = materialise(not_excluded(pairs, points, num, den), "pairs")
     texts = materialise(rows.join(asked, rows["doc_id"] == asked["node"], "left_semi").select(F.col("doc_id").alias("node"), "text"), "candidates")
     links = materialise(verified(pairs, texts, words, num, den), "links")

@@ -93,6 +93,17 @@ def test_jaccard_edges(spark):
     assert jaccard.drop_near_copies(edge_docs(spark)).where("doc_id = 7").count() == 0
 
 
+def test_jaccard_one_id_with_two_texts(spark):
+    """Each of an id's texts keeps its links, whichever of the two points is the smaller."""
+    one, two = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 60), ("b", 150)))
+    rows = []
+    for k, (x, y) in enumerate(((one, two), (two, one))):
+        x, y = x.replace(" ", f"q{k} "), y.replace(" ", f"q{k} ")
+        rows += [(10 * k + 1, x), (10 * k + 2, x), (10 * k + 2, y), (10 * k + 3, x + " end")]
+    got = {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(10 * k + i, 10 * k + 1) for k in (0, 1) for i in (1, 2, 3)}
+
+
 def brute_sw(a, b):
     best, prev = 0, [0] * (len(b) + 1)
     for x in a:
