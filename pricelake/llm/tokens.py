@@ -3,24 +3,30 @@
 Both vocabularies split their input at white space before any merge, so the
 ids of a text are the ids of its pieces one after the other.  Texts repeat
 most of their words; each worker process keeps the ids of pieces it has met
-(bounded, then begun anew) and gathers a text's ids with numpy.  Texts with
-white space outside ASCII are encoded directly: there a piece's surroundings
-could matter.
+(bounded, then begun anew) and gathers the ids of a whole Arrow batch with
+numpy.  Texts with white space outside ASCII are encoded directly: there a
+piece's surroundings could matter.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-_WORD = re.compile(r"[^ \t-\r]+")
-_SPACED = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-_ODD_SPACE = re.compile(r"[^\S \t-\r]")
-_PIECE_CHARS = 12_000_000
+#: White space outside ASCII's own, as Python's str.isspace has it (fixed values).
+_ODD_SPACE = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_SPACES = b" \t\n\v\f\r"
+_IS_SPACE = np.isin(np.arange(256), list(_SPACES))
+_PIECE_CHARS = 4_000_000
+_BATCH_BYTES = 4_000_000
 _encoders: dict[str, "PieceEncoder"] = {}
 
 
@@ -38,54 +44,150 @@ def encoder(name: str) -> "PieceEncoder":
     return _encoders[name]
 
 
+def text_slices(part: pa.RecordBatch, text_at: int = 1) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with a bounded number of text bytes, one row at least."""
+    ends = np.cumsum(pc.binary_length(part.column(text_at)).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < part.num_rows:
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + _BATCH_BYTES, side="right")))
+        yield part.slice(lo, hi - lo)
+        lo = hi
+
+
+def _as_bytes(a: pa.Array) -> list[bytes]:
+    """The values of a binary array without nulls, several times as fast as its own conversion."""
+    ends = np.frombuffer(a.buffers()[1], np.int32, len(a) + 1, a.offset * 4).tolist()
+    raw = a.buffers()[2].to_pybytes()
+    return [raw[lo:hi] for lo, hi in zip(ends, ends[1:])]
+
+
 class PieceEncoder:
-    """Encodes lists of texts to uint32 arrays; control strings inside texts are ordinary text."""
+    """Encodes string arrays to flat uint32 ids; control strings inside texts are ordinary text."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.largest_id = max(self.tokenizer.get_vocab().values(), default=0)
-        kept = self.tokenizer.encode("a b", add_special_tokens=False).offsets
-        self.split = (_SPACED if kept[-1][0] == 1 else _WORD).findall
+        vocabulary = self.tokenizer.get_vocab()
+        self.largest_id = max(vocabulary.values(), default=0)
+        settings = json.loads(self.tokenizer.to_str())
+        self.as_is = not settings["normalizer"]
+        suffix = settings["model"].get("end_of_word_suffix") or ""
+        self.bytes_of = np.zeros(self.largest_id + 1, np.int64)  # in byte-level vocabularies each letter is a byte
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token.removesuffix(suffix))
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[bytes, int] = {}
         self.weight = self.used = 0
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
 
-    def _add(self, new: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        n, total = len(self.index), int(lengths.sum())
+    def _add(self, new: list[bytes]) -> None:
+        joined, alone = self._joinable(new)
+        new = joined + alone
+        ids, lengths = self._chained(joined)
+        if alone:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in alone], add_special_tokens=False)]
+            ids = np.concatenate([ids, np.fromiter((i for one in got for i in one), np.uint32)])
+            lengths = np.concatenate([lengths, np.fromiter(map(len, got), np.int64, len(got))])
+        n, total = len(self.index), len(ids)
         while n + len(new) > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in got for i in ids), np.uint32, total)
+        self.flat[self.used : self.used + total] = ids
         self.length[n : n + len(new)] = lengths
         self.start[n : n + len(new)] = self.used + np.cumsum(lengths) - lengths
         self.index.update(zip(new, range(n, n + len(new))))
         self.used += total
         self.weight += sum(map(len, new))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _joinable(self, new: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """Pieces that can be encoded one after the other in a string, and the rest.
+
+        Joined ones begin with white space and end with a word, so each keeps
+        its own surroundings.  Where a normaliser may change the number of
+        bytes only ASCII is joined.
+        """
+        odd = pc.match_substring_regex(pa.array(new, pa.binary()).cast(pa.string()), _ODD_SPACE).to_pylist()
+        ok = [not o and p[0] in _SPACES and p[-1] not in _SPACES and (self.as_is or p.isascii()) for p, o in zip(new, odd)]
+        return [p for p, k in zip(new, ok) if k], [p for p, k in zip(new, ok) if not k]
+
+    def _chained(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of joined pieces and how many each has: an id stands for a fixed number of bytes, so these tell the pieces apart."""
+        chains = [pieces[i : i + 1024] for i in range(0, len(pieces), 1024)]
+        got = self.tokenizer.encode_batch_fast([b"".join(c).decode() for c in chains], add_special_tokens=False)
+        all_ids, all_lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for chain, one in zip(chains, got):
+            ids = np.array(one.ids, np.uint32)
+            ends = np.cumsum(np.fromiter((len(p) if self.as_is else len(p.strip(_SPACES)) for p in chain), np.int64, len(chain)))
+            upto = np.cumsum(self.bytes_of[ids])
+            last = np.searchsorted(upto, ends)
+            if upto[-1] != ends[-1] or (upto[last] != ends).any():
+                raise ValueError("the tokenizer's ids don't add up to its input")
+            all_ids.append(ids)
+            all_lengths.append(np.diff(last + 1, prepend=0))
+        return np.concatenate(all_ids), np.concatenate(all_lengths)
+
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The known-piece number of each piece of the texts, and where each text's pieces begin (and the last ones end).
+
+        A piece is a run of white space with the word after it, either alone
+        at a text's ends.
+        """
         if self.weight > _PIECE_CHARS:
             self._clear()
-        pieces = [None if not t.isascii() and _ODD_SPACE.search(t) else self.split(t) for t in texts]
-        if new := {p for ps in pieces if ps for p in ps}.difference(self.index):
-            self._add(sorted(new))
-        return [self._gather(ps) if ps is not None else self._direct(t) for ps, t in zip(pieces, texts)]
-
-    def _direct(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _gather(self, pieces: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        n = self.length[at]
-        before = np.cumsum(n) - n
-        return self.flat[np.arange(int(n.sum())) + np.repeat(self.start[at] - before, n)]
+        bounds = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+        if bounds[-1] == bounds[0]:
+            return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+        raw = texts.buffers()[2].slice(int(bounds[0]), int(bounds[-1] - bounds[0]))
+        bounds -= bounds[0]
+        space = _IS_SPACE[np.frombuffer(raw, np.uint8)]
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begins[bounds[:-1][bounds[:-1] < len(space)]] = True
+        starts = np.flatnonzero(begins)
+        ends = pa.py_buffer(np.append(starts, len(space)).astype(np.int32))
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, ends, raw]).dictionary_encode()
+        distinct = _as_bytes(coded.dictionary)
+        if new := [p for p in distinct if p not in self.index]:
+            self._add(new)
+        at = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
+        return at[coded.indices.to_numpy()], np.searchsorted(starts, bounds)
+
+    def _odd(self, texts: pa.Array) -> list[int]:
+        return np.flatnonzero(pc.match_substring_regex(texts, _ODD_SPACE).to_numpy(zero_copy_only=False)).tolist()
+
+    def _direct(self, texts: pa.Array, at: list[int]) -> list[np.ndarray]:
+        got = self.tokenizer.encode_batch_fast([texts[i].as_py() for i in at], add_special_tokens=False)
+        return [np.asarray(e.ids, np.uint32) for e in got]
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        pieces, begin = self._pieces(texts)
+        out = np.diff(np.concatenate([[0], np.cumsum(self.length[pieces])])[begin])
+        if odd := self._odd(texts):
+            out[odd] = [len(x) for x in self._direct(texts, odd)]
+        return out
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (and the last ones end); ``end_id`` closes each text."""
+        pieces, begin = self._pieces(texts)
+        n = self.length[pieces]
+        before = np.concatenate([[0], np.cumsum(n)])
+        flat = self.flat[np.arange(int(before[-1])) + np.repeat(self.start[pieces] - before[:-1], n)]
+        bounds = before[begin]
+        if odd := self._odd(texts):
+            parts = [flat[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:])]
+            for i, ids in zip(odd, self._direct(texts, odd)):
+                parts[i] = ids
+            flat, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        if end_id is not None:
+            flat = np.insert(flat, bounds[1:], np.uint32(end_id))
+            bounds = bounds + np.arange(len(bounds))
+        return flat, bounds
