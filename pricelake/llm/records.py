@@ -22,8 +22,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, id_text, materialise
-from .tokens import encoder
+from .common import id_text, materialise
+from .tokens import encoder, text_slices
 
 _HEAD, _PAYLOAD = struct.Struct("<QI"), struct.Struct("<BqBI")
 _MANIFEST = "shard int, path string, documents bigint, tokens bigint, bytes bigint"
@@ -61,8 +61,9 @@ def id_width(vocabulary: int, end_id: int) -> int:
     return 2 if max(vocabulary - 1, end_id) < 1 << 16 else 4
 
 
-def payload_of(doc: int | None, ids: np.ndarray, end_id: int, width: int = 4) -> bytes:
-    return _PAYLOAD.pack(doc is not None, doc or 0, width, len(ids) + 1) + np.append(ids, np.uint32(end_id)).astype(f"<u{width}").tobytes()
+def payload_of(doc: int | None, raw: bytes | memoryview, n: int, width: int = 4) -> bytes:
+    """The payload of ``n`` ids, given as little-endian bytes."""
+    return _PAYLOAD.pack(doc is not None, doc or 0, width, n) + raw
 
 
 def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
@@ -98,7 +99,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.jso
     and one index (8 bytes a record) in memory.
 
     Null or empty text: the end id alone.  Null ids come first and read back
-    as null.  An empty table gives no file or empty ones.
+    as null.  Repeated rows and equal ids give a record each.  Other columns
+    are ignored, whatever their names.  An empty table gives no file.
     """
     rows = id_text(docs, id_col, text_col).withColumn("tie", F.crc32("text"))
     by = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
@@ -118,13 +120,15 @@ def write_records(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.jso
             if out is None:
                 where.create_dir(root, recursive=True)
                 out = where.open_output_stream(f"{name}.rec")
-            for ids, texts in batches(part.column(1).to_pylist(), part.column(0).to_pylist()):
-                for doc, got in zip(ids, enc.encode(texts)):
-                    raw = frame(payload_of(doc, got, end_id, width))
-                    out.write(raw)
+            for rows in text_slices(part):
+                flat, bounds = enc.encode(rows.column(1), end_id)
+                raw = memoryview(flat.astype(f"<u{width}").tobytes())
+                for doc, lo, hi in zip(rows.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                    record = frame(payload_of(doc, raw[lo * width : hi * width], hi - lo, width))
+                    out.write(record)
                     offsets.append(at)
-                    at += len(raw)
-                    tokens += len(got) + 1
+                    at += len(record)
+                tokens += len(flat)
         if out is not None:
             out.close()
             with where.open_output_stream(f"{name}.idx") as index:
@@ -157,3 +161,57 @@ def read_records(manifest: DataFrame) -> DataFrame:
     n = manifest.sparkSession.sparkContext.defaultParallelism * 4
     got = manifest.select("shard", "path").repartition(n, "shard").mapInArrow(run, _READ)
     return got.join(F.broadcast(starts), got["shard"] == starts["s"]).select("doc_id", (F.col("shard_start") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def read_shuffled(manifest: DataFrame, seed: int, slice_records: int = 4096) -> DataFrame:
+    """epoch_order, doc_id, n_tokens, ids of all records in an order that ``seed`` decides, each found by its offset.
+
+    The index files alone give the (shard, record) numbers; these are ordered
+    by a hash with the seed, and each task seeks its own records out, by file
+    and offset inside a slice of the order.  `epoch_order` sorts the epoch: a
+    hash, ties by shard and record.  Every record comes once; damaged records
+    and offsets raise ValueError.  An empty manifest gives an empty result.
+    """
+
+    def listed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for shard, path in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                where, name = fs.FileSystem.from_uri(path)
+                with where.open_input_stream(f"{name}.idx") as index:
+                    offsets = np.frombuffer(index.read(), "<u8").astype(np.int64)[:-1]
+                for at in range(0, len(offsets), 100_000):
+                    some = offsets[at : at + 100_000]
+                    yield pa.RecordBatch.from_pydict({
+                        "shard": pa.array([shard] * len(some), pa.int32()), "path": [path] * len(some),
+                        "record": pa.array(np.arange(at, at + len(some))), "offset": pa.array(some),
+                    })
+
+    def fetch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for lo in range(0, part.num_rows, slice_records):
+                rows = part.slice(lo, slice_records)
+                got: list = [None] * rows.num_rows
+                paths, offsets = rows.column(1).to_pylist(), rows.column(2).to_pylist()
+                by_file: dict[str, list[tuple[int, int]]] = {}
+                for i, (path, offset) in enumerate(zip(paths, offsets)):
+                    by_file.setdefault(path, []).append((offset, i))
+                for path, wanted in by_file.items():
+                    where, name = fs.FileSystem.from_uri(path)
+                    with where.open_input_file(f"{name}.rec") as f:
+                        for offset, i in sorted(wanted):
+                            payload = read_record(f, offset)
+                            if payload is None:
+                                raise ValueError("the index points behind the records")
+                            got[i] = unpack(payload)
+                yield pa.RecordBatch.from_pydict({
+                    "epoch_order": rows.column(0),
+                    "doc_id": pa.array([d for d, _ in got], pa.int64()), "n_tokens": pa.array([len(x) for _, x in got], pa.int64()),
+                    "ids": pa.array([x.tobytes() for _, x in got], pa.binary()),
+                })
+
+    n = manifest.sparkSession.sparkContext.defaultParallelism * 4
+    index = manifest.select("shard", "path").repartition(n, "shard").mapInArrow(listed, "shard int, path string, record bigint, offset bigint")
+    order = F.struct(F.xxhash64("shard", "record", F.lit(seed)).alias("draw"), "shard", "record").alias("epoch_order")
+    drawn = index.select(order, "path", "offset").repartitionByRange("epoch_order").sortWithinPartitions("epoch_order")
+    schema = "epoch_order struct<draw: bigint, shard: int, record: bigint>, doc_id bigint, n_tokens bigint, ids binary"
+    return drawn.mapInArrow(fetch, schema)
