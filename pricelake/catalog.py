@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import events, market, offers
+from .plans import compare, events, linkage, market, more, offers, operations, pages, quality, scoring, search
 
-QUERIES = offers.QUERIES | market.QUERIES | events.QUERIES
-SQL = offers.SQL | market.SQL | events.SQL
+QUERIES = offers.QUERIES | scoring.QUERIES | search.QUERIES | linkage.QUERIES | quality.QUERIES | compare.QUERIES | operations.QUERIES | pages.QUERIES | more.QUERIES | market.QUERIES | events.QUERIES
+SQL = offers.SQL | scoring.SQL | search.SQL | linkage.SQL | quality.SQL | compare.SQL | operations.SQL | pages.SQL | more.SQL | market.SQL | events.SQL

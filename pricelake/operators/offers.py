@@ -25,47 +25,26 @@ def fresh(now: str, stale_hours: float) -> Column:
     return age_hours(now) <= stale_hours
 
 
-def discount_percent(old: Column, price: Column) -> Column:
-    return F.when(old > price, F.round((old - price) / old * 100, 2)).otherwise(0.0)
-
-
 def best_offers(offers: DataFrame) -> DataFrame:
     """The one best offer of each product among the eligible: least total, then store."""
     best = offers.where(eligible()).groupBy("product_id").agg(F.min(F.struct("total", "store_id")).alias("b"), F.count(F.lit(1)).alias("offers"))
     return best.select("product_id", F.col("b.store_id").alias("best_store_id"), F.col("b.total").alias("best_total"), "offers")
 
 
-def rank_offers(offers: DataFrame, now: str) -> DataFrame:
-    """Each serving offer's score of 100 and its rank within the product.
-
-    60 points for the price and 20 for shipping, by place between the
-    product's least and greatest; 20 fall linearly over 720 hours of age.
-    """
-    by = Window.partitionBy("product_id")
-
-    def share(c: str) -> Column:
-        lo, hi = F.min(c).over(by), F.max(c).over(by)
-        return F.when(hi > lo, (hi - F.col(c)) / (hi - lo)).otherwise(1.0)
-
-    age = F.greatest(F.lit(0.0), 1 - age_hours(now) / 720)
-    scored = offers.where(serving()).withColumn("score", F.round(60 * share("total") + 20 * share("shipping") + 20 * F.least(F.lit(1.0), age), 4))
-    return scored.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "total", "store_id"))).select("product_id", "store_id", "total", "score", "rank")
-
-
 def compare(offers: DataFrame, now: str, stale_hours: float) -> DataFrame:
     """Each product's comparison over its serving offers: fresh ones if there are any, else all.
 
-    offers, stores, fresh_offers, best and highest total, saving and its
-    percentage, and how many offers are at the best total (all of them are
-    flagged best).
+    ``offers`` has one row for each product and store.  offers, stores,
+    fresh_offers, best and highest total, saving and its percentage, and how
+    many offers are at the best total (all of them are flagged best).
     """
-    rows = offers.where(serving()).withColumn("fresh", fresh(now, stale_hours))
-    rows = rows.withColumn("pool", F.col("fresh") | ~F.max("fresh").over(Window.partitionBy("product_id")))
-    best = F.min(F.when(F.col("pool"), F.col("total"))).over(Window.partitionBy("product_id"))
-    rows = rows.withColumn("best", best)
+    whole = Window.partitionBy("product_id")
+    rows = offers.where(serving()).select("product_id", "total", fresh(now, stale_hours).alias("fresh"))
+    least = F.coalesce(F.min(F.when(F.col("fresh"), F.col("total"))).over(whole), F.min("total").over(whole))
+    rows = rows.withColumns({"best": least, "pool": F.col("fresh") | ~F.max("fresh").over(whole)})  # one window, and its order serves the aggregate
     out = rows.groupBy("product_id").agg(
-        F.count(F.lit(1)).alias("offers"), F.countDistinct("store_id").alias("stores"), F.count_if("fresh").alias("fresh_offers"),
-        F.first("best").alias("best_total"), F.max("total").alias("highest_total"), F.count_if(F.col("pool") & (F.col("total") == F.col("best"))).alias("best_offers"),
+        F.count(F.lit(1)).alias("offers"), F.count(F.lit(1)).alias("stores"), F.count_if("fresh").alias("fresh_offers"), F.min("best").alias("best_total"),
+        F.max("total").alias("highest_total"), F.count_if(F.col("pool") & (F.col("total") == F.col("best"))).alias("best_offers"),
     )
     saving = F.round(F.col("highest_total") - F.col("best_total"), 2)
     return out.withColumns({"saving": saving, "saving_percent": F.round(saving / F.col("highest_total") * 100, 2)})
@@ -81,7 +60,3 @@ def lifecycle(offers: DataFrame, now: str, missing_hours: float, archive_hours:
     """The next lifecycle of each offer by age: ARCHIVED, MISSING, or what it is."""
     age = age_hours(now)
     return offers.withColumn("next_lifecycle", F.when(age > archive_hours, "ARCHIVED").when(age > missing_hours, "MISSING").when(F.col("hidden"), "OUT_OF_STOCK").otherwise(F.col("lifecycle")))
-
-
-def dedupe_key() -> Column:
-    return F.sha2(F.concat_ws("|", "store_id", "seller", "product_ref"), 256)

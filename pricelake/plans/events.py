@@ -43,22 +43,6 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("started"), F.max("ts").alias("ended"))
 
 
-def circuit_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per user: failures in a row at the end, and health as the success rate less eight for each; open from three."""
-    by = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    e = read(spark, sf_dir, "events").withColumn("ok", F.col("event_type") != "error")
-    e = e.withColumn("ok_after", F.count_if("ok").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    g = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("runs"), F.count_if("ok").alias("oks"), F.count_if(F.col("ok_after") == 0).alias("failures"))
-    return g.select("user_id", "runs", "failures", F.round(F.greatest(F.lit(0.0), F.col("oks") / F.col("runs") * 100 - 8 * F.col("failures")), 2).alias("health"), (F.col("failures") >= 3).alias("open"))
-
-
-def soak_last50(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Count-based window: each type's last 50 events."""
-    w = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    e = read(spark, sf_dir, "events").withColumn("back", F.row_number().over(w)).where("back <= 50")
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 2).alias("avg_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"))
-
-
 def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select("event_type", F.from_json("props", "k int").alias("p"))
     return e.groupBy("event_type").agg(F.count("p.k").alias("with_k"), F.min("p.k").alias("min_k"), F.max("p.k").alias("max_k"))
@@ -83,31 +67,29 @@ def name_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_jaccard_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products of one brand and size whose name words overlap by half or more, as pairs."""
-    p = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", T.tokens(F.col("p_name")).alias("t"))
-    q = p.select(F.col("p_partkey").alias("other"), "p_brand", "p_size", F.col("t").alias("u"))
-    j = T.jaccard(F.col("t"), F.col("u"))
-    return p.join(q, ["p_brand", "p_size"]).where("p_partkey < other").where(j >= 0.5).select(F.col("p_partkey").alias("product_id"), "other", F.round(j, 4).alias("score"))
-
-
-def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = read(spark, sf_dir, "pages")
-    return u.select("page_id", T.canonical_url(F.col("url")).alias("canonical"), T.host(F.col("url")).alias("host"))
-
-
-def page_title_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = read(spark, sf_dir, "pages")
-    return h.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<html lang=\"([a-z]+)\"", 1).alias("lang"), F.size(F.regexp_extract_all("html", F.lit("<a href=\"([^\"]*)\""), 1)).cast("bigint").alias("links"))
-
-
-def page_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<a href=\"([^\"]*)\""), 1)).alias("link"))
-    return h.groupBy("link").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page_id").alias("pages"))
+    """Pairs of different product names whose words overlap by a third or more, with how many products have each.
+
+    Products are folded to distinct sets of words.  Two sets that overlap by a
+    third share one of each one's rarest words, all but a third of them, so only
+    those are joined, and frequent words gather nothing but their own names.
+    """
+    p = read(spark, sf_dir, "part").select("p_partkey", F.array_sort(T.tokens(F.col("p_name"))).alias("words")).where(F.size("words") > 0)
+    names = p.groupBy("words").agg(F.min("p_partkey").alias("first_id"), F.count(F.lit(1)).alias("products"))
+    words = names.select("first_id", "words", F.explode("words").alias("w"))
+    often = words.groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+    rare = Window.partitionBy("first_id").orderBy("c", "w")
+    keep = F.size("words") - F.ceil(F.size("words") * 0.33) + 1
+    posts = words.join(often, "w").withColumn("place", F.row_number().over(rare)).where(F.col("place") <= keep).select("w", F.col("first_id").alias("id"))
+    pairs = posts.join(posts.toDF("w", "other"), "w").where("id < other").select("id", "other").distinct()
+    side = lambda name, n: names.select(F.col("first_id").alias(name), F.col("words").alias(f"{name}_words"), F.col("products").alias(n))
+    rows = pairs.join(side("id", "products"), "id").join(side("other", "other_products"), "other")
+    score = T.jaccard(F.col("id_words"), F.col("other_words"))
+    return rows.where(score >= 0.33).select(F.col("id").alias("first_id"), F.col("other").alias("other_first_id"), F.round(score, 4).alias("score"), "products", "other_products")
 
 
 QUERIES = {f.__name__: f for f in (
-    event_dashboard, event_top_users, event_daily_zero_fill, event_hourly_windows, event_sessions, circuit_state, soak_last50, event_props, conversation_rollup, label_quality_bands,
-    text_normalize, name_fingerprint, token_jaccard_dups, url_canonical, page_title_meta, page_link_counts,
+    event_dashboard, event_top_users, event_daily_zero_fill, event_hourly_windows, event_sessions, event_props, conversation_rollup, label_quality_bands,
+    text_normalize, name_fingerprint, token_jaccard_dups,
 )}
 
 
@@ -119,8 +101,6 @@ def _normal(c: str) -> str:
     return f"trim(regexp_replace({_fold(c)}, '[^a-z0-9]+', ' ', 'g'))"
 
 
-_LINKS = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
-
 SQL = {
     "event_dashboard": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 2) AS avg_value FROM events GROUP BY event_type",
     "event_top_users": "SELECT event_type, user_id, count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id)::INTEGER AS rank FROM events GROUP BY event_type, user_id QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) <= 10",
@@ -131,24 +111,14 @@ SQL = {
     "event_sessions": """WITH g AS (SELECT *, date_diff('microsecond', lag(ts) OVER w, ts) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM g)
         SELECT user_id, session, count(*) AS events, min(ts) AS started, max(ts) AS ended FROM s GROUP BY ALL""",
-    "circuit_state": """WITH e AS (SELECT user_id, event_type <> 'error' AS ok, count_if(event_type <> 'error') OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS ok_after FROM events),
-        g AS (SELECT user_id, count(*) AS runs, count_if(ok) AS oks, count_if(ok_after = 0)::BIGINT AS failures FROM e GROUP BY user_id)
-        SELECT user_id, runs, failures, round(greatest(0.0, oks / runs * 100 - 8 * failures), 2) AS health, failures >= 3 AS open FROM g""",
-    "soak_last50": """WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 50)
-        SELECT event_type, count(*) AS n, round(avg(value), 2) AS avg_value, min(value) AS min_value, max(value) AS max_value FROM l GROUP BY event_type""",
     "event_props": "WITH p AS (SELECT event_type, (props::JSON ->> 'k')::INTEGER AS k FROM events) SELECT event_type, count(k) AS with_k, min(k) AS min_k, max(k) AS max_k FROM p GROUP BY event_type",
     "conversation_rollup": "SELECT conv_id, count(*) AS turns, count_if(role = 'assistant')::BIGINT AS replies, arg_min(role, turn) AS first_role, arg_max(role, turn) AS last_role, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id",
     "label_quality_bands": "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL",
     "text_normalize": f"""WITH s AS (SELECT item_id, text, substring(regexp_replace(regexp_replace({_fold('text')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 100) AS slug FROM benchmark)
         SELECT item_id, {_normal('text')} AS normal, CASE WHEN slug = '' THEN 'urun' ELSE slug END AS slug FROM s""",
     "name_fingerprint": f"WITH p AS (SELECT p_partkey, {_normal('p_name')} AS normal FROM part) SELECT normal, count(*) AS n, min(p_partkey) AS first_id, min(substring(sha256(normal), 1, 32)) AS key FROM p GROUP BY normal",
-    "token_jaccard_dups": f"""WITH p AS (SELECT p_partkey, p_brand, p_size, list_distinct(list_filter(string_split({_normal('p_name')}, ' '), lambda x: length(x) >= 2)) AS t FROM part),
-        j AS (SELECT a.p_partkey AS product_id, b.p_partkey AS other, len(list_intersect(a.t, b.t)) AS i, len(a.t) + len(b.t) AS s FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey)
-        SELECT product_id, other, round(i / (s - i), 4) AS score FROM j WHERE i / (s - i) >= 0.5""",
-    "url_canonical": r"""WITH b AS (SELECT page_id, url, regexp_replace(trim(url), '[?#].*$', '') AS bare FROM pages)
-        SELECT page_id, lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/]*)', 1))
-               || regexp_replace(regexp_replace(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(.*)$', 1), '/+', '/', 'g'), '/$', '') AS canonical,
-               lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS host FROM b""",
-    "page_title_meta": f"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, len({_LINKS}) AS links FROM pages""",
-    "page_link_counts": f"WITH l AS (SELECT page_id, unnest({_LINKS}) AS link FROM pages) SELECT link, count(*) AS n, count(DISTINCT page_id) AS pages FROM l GROUP BY link",
+    "token_jaccard_dups": f"""WITH p AS (SELECT p_partkey, list_sort(list_distinct(list_filter(string_split({_normal('p_name')}, ' '), lambda x: length(x) >= 2))) AS t FROM part),
+        n AS (SELECT t, min(p_partkey) AS id, count(*) AS c FROM p WHERE len(t) > 0 GROUP BY t),
+        j AS (SELECT a.id AS first_id, b.id AS other_first_id, len(list_intersect(a.t, b.t)) AS i, len(a.t) + len(b.t) AS s, a.c AS products, b.c AS other_products FROM n a JOIN n b ON a.id < b.id)
+        SELECT first_id, other_first_id, round(i / (s - i), 4) AS score, products, other_products FROM j WHERE i / (s - i) >= 0.33""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelake.operators import merge
-from pricelake.sources.tables import SQL_CUR, SQL_OBS, cents, current_offers, observations, products
+from pricelake.sources.tables import SQL_CUR, SQL_OBS, cents, current_offers, latest, observations, products
 
 #: Observations from here on are staged over those before.
 STAGED_FROM = "1999-01-01 00:00:00"
@@ -67,20 +67,10 @@ def staging_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each offer after the later observations are staged over the earlier ones."""
     split = F.col("seen_at") < F.lit(STAGED_FROM).cast("timestamp_ntz")
     rows = observations(spark, sf_dir)
-    latest = lambda df: df.groupBy("product_id", "store_id").agg(F.max(F.struct("seen_at", "order_id", "line", *_PAYLOAD)).alias("o")).select("product_id", "store_id", "o.*")
     return merge.upsert(latest(rows.where(split)), latest(rows.where(~split)), ["product_id", "store_id"], _PAYLOAD)
 
 
-def sitemap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sitemap's entry for each brand and category: the latest sighting of its offers."""
-    rows = observations(spark, sf_dir).groupBy("product_id").agg(F.max("seen_at").alias("seen_at")).join(products(spark, sf_dir), "product_id")
-    pairs = F.explode(F.array(F.struct(F.lit("brand").alias("kind"), F.col("brand").alias("value")), F.struct(F.lit("category").alias("kind"), F.col("category").alias("value"))))
-    out = rows.select(pairs.alias("p"), "seen_at", "product_id").groupBy("p.kind", "p.value").agg(F.count(F.lit(1)).alias("products"), F.date_format(F.max("seen_at"), "yyyy-MM-dd").alias("lastmod"))
-    slug = F.regexp_replace(F.lower("value"), "[^a-z0-9]+", "-")
-    return out.withColumn("xml", F.concat(F.lit("<url><loc>/"), F.col("kind"), F.lit("/"), slug, F.lit("</loc><lastmod>"), F.col("lastmod"), F.lit("</lastmod></url>")))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (home_cards, category_badges, duplicate_clusters, canonical_survivors, merged_offers, staging_upsert, sitemap_entries)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (home_cards, category_badges, duplicate_clusters, canonical_survivors, merged_offers, staging_upsert)}
 
 _OK = "lifecycle = 'ACTIVE' AND NOT hidden AND price > 0"
 _PERCENT = "CASE WHEN {0} > best_price THEN floor(({0} - best_price) / {0} * 100 * 100 + 0.5) / 100 ELSE 0.0 END"
@@ -106,8 +96,4 @@ SQL: dict[str, str] = {
               CASE WHEN o.price IS NULL THEN 'inserted' WHEN n.price IS NULL THEN 'kept' WHEN {' AND '.join(f'o.{c} = n.{c}' for c in _PAYLOAD)} THEN 'unchanged' ELSE 'updated' END AS outcome
               FROM o FULL JOIN n USING (product_id, store_id))
         SELECT *, outcome IN ('inserted', 'updated') AS queued FROM m""",
-    "sitemap_entries": f"""WITH {SQL_OBS}, s AS (SELECT product_id, max(seen_at) AS seen_at FROM obs GROUP BY product_id), p AS (SELECT * FROM s JOIN part ON p_partkey = product_id),
-        g AS (SELECT 'brand' AS kind, p_brand AS value, seen_at FROM p UNION ALL SELECT 'category', p_type, seen_at FROM p),
-        e AS (SELECT kind, value, count(*) AS products, strftime(max(seen_at), '%Y-%m-%d') AS lastmod FROM g GROUP BY kind, value)
-        SELECT *, '<url><loc>/' || kind || '/' || regexp_replace(lower(value), '[^a-z0-9]+', '-', 'g') || '</loc><lastmod>' || lastmod || '</lastmod></url>' AS xml FROM e""",
 }

@@ -23,10 +23,6 @@ def offer_best_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.best_offers(current_offers(spark, sf_dir))
 
 
-def offer_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.rank_offers(current_offers(spark, sf_dir), NOW)
-
-
 def store_status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.store_status(current_offers(spark, sf_dir), NOW, STALE)
 
@@ -55,10 +51,15 @@ def active_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def peer_cheaper_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Self join: each offer's count of cheaper peers in other stores, and the best of them."""
-    a = current_offers(spark, sf_dir).select("product_id", "store_id", "total")
-    b = a.toDF("product_id", "peer", "peer_total")
-    return a.join(b, "product_id").where("peer <> store_id and peer_total < total").groupBy("product_id", "store_id").agg(F.count(F.lit(1)).alias("cheaper"), F.min("peer_total").alias("best_peer"))
+    """Each offer's number of cheaper offers of the product in other stores, and the best of them.
+
+    A product's totals in order tell both; no offer meets another.  Offers at
+    one total are no cheaper than each other, and the cheapest is the peer of all dearer ones.
+    """
+    whole = Window.partitionBy("product_id")
+    rows = current_offers(spark, sf_dir).select("product_id", "store_id", "total")
+    rows = rows.withColumns({"cheaper": F.rank().over(whole.orderBy("total")).cast("bigint") - 1, "best_peer": F.min("total").over(whole)})
+    return rows.where("cheaper > 0").select("product_id", "store_id", "cheaper", "best_peer")
 
 
 def price_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,13 +67,18 @@ def price_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_pass_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the first pass quarantines is judged again against the offers it left."""
-    offers = current_offers(spark, sf_dir).select("product_id", "store_id", "price")
-    first = H.quarantine(offers).select("product_id", "store_id", "price", F.col("status").alias("first_status"))
-    kept = first.where("first_status <> 'QUARANTINED'").groupBy("product_id").agg(F.expr("percentile(price, 0.5)").alias("median"), F.count(F.lit(1)).alias("kept"))
-    again = first.where("first_status = 'QUARANTINED'").join(kept, "product_id", "left")
-    ok = (F.coalesce("kept", F.lit(0)) >= 2) & F.col("price").between(0.35 * F.col("median"), 2.75 * F.col("median"))
-    return again.select("product_id", "store_id", "price", F.when(ok, "RECOVERED").otherwise("QUARANTINED").alias("second_status"))
+    """All offers are decided against their original peers; those quarantined are then judged again by the peers that were not.
+
+    A quarantined offer isn't among those peers, so their median is the
+    product's, from one more window over the first result.
+    """
+    first = H.quarantine(current_offers(spark, sf_dir).select("product_id", "store_id", "price"))
+    kept = F.when(F.col("status") != "QUARANTINED", F.col("price"))
+    whole = Window.partitionBy("product_id")
+    again = first.withColumns({"peers_2": F.count(kept).over(whole), "median_2": F.percentile(kept, F.lit(0.5)).over(whole)}).where("status = 'QUARANTINED'")
+    ratio = F.col("price") / F.nullif(F.col("median_2"), F.lit(0.0))
+    second = H.integrity_status(F.col("price"), F.col("peers_2"), ratio)
+    return again.select("product_id", "store_id", "price", F.col("status").alias("first_status"), second.alias("second_status"))
 
 
 def price_windows_7_30_90(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,20 +121,6 @@ def alert_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(p, "product_id").where("target >= best_total").select("product_id", "best_store_id", "best_total", F.bround(F.col("best_total") * 100, 0).cast("bigint").alias("price_key"))
 
 
-def deal_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """0 to 100: 50, up to 30 for being under the mean, up to 20 for being near the lowest."""
-    h = H.summary(observations(spark, sf_dir))
-    under = F.least(F.lit(30.0), F.greatest(F.lit(-30.0), (F.col("average") - F.col("last_price")) / F.col("average") * 100))
-    near = 20 * (1 - F.least(F.lit(1.0), (F.col("last_price") - F.col("lowest")) / F.col("lowest")))
-    s = F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), 50 + under + near)), 2)
-    return h.select("product_id", s.alias("score"), F.when(s >= 85, "super").when(s >= 70, "good").otherwise("normal").alias("badge"))
-
-
-def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of products by key (the feature is the limit): ids over 100, 24 a page."""
-    return products(spark, sf_dir).where("product_id > 100").orderBy("product_id").limit(24).select("product_id", "name", "brand")
-
-
 def price_drop_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 100 largest drops from a product's highest to its last price."""
     h = H.summary(observations(spark, sf_dir))
@@ -137,20 +129,27 @@ def price_drop_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def integrity_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts that must be 0: orphans, bad prices, repeated keys, orders whose customer is missing."""
-    li, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
-    checks = [
-        ("orphan_products", li.join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "left_anti").agg(F.count(F.lit(1)).alias("n"))),
-        ("orphan_stores", li.join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left_anti").agg(F.count(F.lit(1)).alias("n"))),
-        ("orphan_orders", orders.join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").agg(F.count(F.lit(1)).alias("n"))),
-        ("bad_prices", li.agg(F.count_if(F.col("l_extendedprice") <= 0).alias("n"))),
-        ("repeated_keys", li.groupBy("l_orderkey", "l_linenumber").count().where("count > 1").agg(F.count(F.lit(1)).alias("n"))),
-    ]
-    out = None
-    for name, df in checks:
-        row = df.select(F.lit(name).alias("invariant"), "n")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Counts that must be 0: orphans, bad prices, repeated keys, orders whose customer is missing.
+
+    Lines are folded by product and store, and by key, once; what is joined
+    with the small tables is what the folds leave.
+    """
+    li = read(spark, sf_dir, "lineitem")
+    pairs = li.groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_extendedprice") <= 0).alias("bad"))
+    known_p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("p"))
+    known_s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.lit(True).alias("s"))
+    lines = pairs.join(known_p, "l_partkey", "left").join(known_s, "l_suppkey", "left").agg(
+        F.coalesce(F.sum(F.when(F.col("p").isNull(), F.col("n"))), F.lit(0)).alias("orphan_products"),
+        F.coalesce(F.sum(F.when(F.col("s").isNull(), F.col("n"))), F.lit(0)).alias("orphan_stores"),
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_prices"),
+    )
+    repeated = li.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("c")).agg(F.count_if(F.col("c") > 1).alias("repeated_keys"))
+    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    orphans = read(spark, sf_dir, "orders").join(customers, "o_custkey", "left_anti").agg(F.count(F.lit(1)).alias("orphan_orders"))
+    stacked = lines.select(F.expr("stack(3, 'orphan_products', orphan_products, 'orphan_stores', orphan_stores, 'bad_prices', bad_prices) as (invariant, n)"))
+    for one in (repeated, orphans):
+        stacked = stacked.unionByName(one.select(F.lit(one.columns[0]).alias("invariant"), F.col(one.columns[0]).alias("n")))
+    return stacked
 
 
 def counter_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,60 +160,68 @@ def counter_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consecutive_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaps and islands: each store's longest run of hidden observations, in time order."""
-    by = Window.partitionBy("store_id").orderBy("seen_at", "order_id", "line")
-    rows = observations(spark, sf_dir).select("store_id", "seen_at", "order_id", "line", "hidden").withColumn("island", F.count_if(~F.col("hidden")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.where("hidden").groupBy("store_id", "island").agg(F.count(F.lit(1)).alias("n"))
-    return runs.groupBy("store_id").agg(F.max("n").alias("longest"), F.count(F.lit(1)).alias("runs"))
-
-
-def store_center(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Left join chain: every store with its nation, its offers, products, categories and prices, and a quality score."""
-    o = current_offers(spark, sf_dir).join(products(spark, sf_dir).select("product_id", "category"), "product_id")
-    nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation_id"), F.col("n_name").alias("nation"))
-    agg = o.groupBy("store_id").agg(F.count(F.lit(1)).alias("offers"), F.count_if(O.serving()).alias("active"), F.countDistinct("product_id").alias("products"), F.countDistinct("category").alias("categories"), F.min("price").alias("min_price"), F.max("price").alias("max_price"), F.count_if(F.col("shipping") == 0).alias("free"))
-    s = stores(spark, sf_dir).join(nation, "nation_id", "left").join(agg, "store_id", "left").fillna(0, ["offers", "active", "products", "categories", "free"])
-    ratio = lambda c: F.when(F.col("offers") > 0, F.round(F.col(c) / F.col("offers") * 100, 1)).otherwise(0.0)
-    return s.select("store_id", "store", "nation", "offers", "active", "products", "categories", "min_price", "max_price", F.round(ratio("active") * 0.7 + ratio("free") * 0.3, 2).alias("quality"))
+    """Each store's longest run of hidden observations, in time order, and its number of runs.
+
+    Runs are found inside (store, month) first, so a store's history is many
+    tasks; a month leaves one row: its length, the runs at its two ends, the
+    longest inside, and whether it is all hidden.  Months are then stitched in
+    order, a few rows a store.
+    """
+    month = F.date_trunc("month", "seen_at")
+    rows = observations(spark, sf_dir).select("store_id", month.alias("month"), "seen_at", "order_id", "line", "hidden")
+    by = Window.partitionBy("store_id", "month").orderBy("seen_at", "order_id", "line")
+    rows = rows.withColumns({"island": F.count_if(~F.col("hidden")).over(by.rowsBetween(Window.unboundedPreceding, 0))})
+    runs = rows.groupBy("store_id", "month", "island").agg(F.count_if("hidden").alias("n"), F.count_if(~F.col("hidden")).alias("shown"))
+    whole = Window.partitionBy("store_id", "month")
+    runs = runs.withColumns({"last": F.max("island").over(whole)})
+    months = runs.groupBy("store_id", "month").agg(
+        F.max(F.when(F.col("island") == 0, F.col("n"))).alias("head"), F.max(F.when(F.col("island") == F.col("last"), F.col("n"))).alias("tail"),
+        F.max("n").alias("longest"), F.count_if(F.col("n") > 0).alias("runs"), (F.max("last") == 0).alias("solid"),
+    ).fillna(0, ["head"])
+    order = Window.partitionBy("store_id").orderBy("month")
+    # a run that goes on over months: what stands at the end of the one before, solid months added up
+    blocks = months.withColumn("broken", F.count_if(~F.col("solid")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    so_far = Window.partitionBy("store_id", "broken").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    open_tail = F.last(F.when(~F.col("solid"), F.col("tail")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    carried = F.coalesce(F.sum("tail").over(so_far), F.lit(0)) + F.coalesce(open_tail, F.lit(0))
+    blocks = blocks.withColumn("carried", carried)
+    before = F.coalesce(F.lag("tail").over(order), F.lit(0))
+    joined = (before > 0) & (F.col("head") > 0)
+    out = blocks.withColumns({"joined": joined.cast("int"), "whole": F.greatest("longest", F.col("head") + F.col("carried"))})
+    return out.groupBy("store_id").agg(F.max("whole").alias("longest"), (F.sum("runs") - F.sum("joined")).alias("runs")).where("runs > 0")
+
+
+def _rollup(spark: SparkSession, sf_dir: str, by: str, also: str | None) -> DataFrame:
+    """Eligible offers by a product attribute: products, offers, stores, prices, and distinct values of another attribute.
+
+    Folded to (value, product) and to (value, store) before anything distinct
+    is counted, so that no row is multiplied for a count.
+    """
+    o = current_offers(spark, sf_dir).where(O.eligible()).join(products(spark, sf_dir).select("product_id", "brand", "category"), "product_id")
+    of_product = o.groupBy(by, *([also] if also else []), "product_id").agg(F.count(F.lit(1)).alias("offers"), F.min("price").alias("lo"), F.max("price").alias("hi"))
+    sums = [F.sum("offers").alias("offers"), F.min("lo").alias("min_price"), F.max("hi").alias("max_price")]
+    if also:
+        of_product = of_product.groupBy(by, also).agg(F.count(F.lit(1)).alias("products"), F.sum("offers").alias("offers"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        out = of_product.groupBy(by).agg(F.sum("products").alias("products"), F.count(F.lit(1)).alias(f"{also}s"), *sums)
+    else:
+        out = of_product.groupBy(by).agg(F.count(F.lit(1)).alias("products"), *sums)
+    of_store = o.groupBy(by, "store_id").agg(F.lit(1).alias("one")).groupBy(by).agg(F.count(F.lit(1)).alias("stores"))
+    return out.join(of_store, by)
 
 
 def category_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = current_offers(spark, sf_dir).where(O.eligible()).join(products(spark, sf_dir), "product_id")
-    return o.groupBy("category").agg(F.countDistinct("product_id").alias("products"), F.count(F.lit(1)).alias("offers"), F.countDistinct("brand").alias("brands"), F.countDistinct("store_id").alias("stores"), F.min("price").alias("min_price"), F.max("price").alias("max_price"))
+    return _rollup(spark, sf_dir, "category", "brand")
 
 
 def brand_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = current_offers(spark, sf_dir).where(O.eligible()).join(products(spark, sf_dir), "product_id")
-    return o.groupBy("brand").agg(F.countDistinct("product_id").alias("products"), F.count(F.lit(1)).alias("offers"), F.countDistinct("store_id").alias("stores"), F.min("price").alias("min_price"))
-
-
-def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = products(spark, sf_dir).select(F.expr("stack(3, 'brand', brand, 'category', category, 'size', cast(size as string)) as (facet, value)"))
-    return p.groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
-
-
-def dynamic_facets_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten most frequent sizes of each brand; ties by size."""
-    n = products(spark, sf_dir).groupBy("brand", "size").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("brand").orderBy(F.desc("n"), "size")
-    return n.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
-
-
-def search_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products with every word of a query, by field weights: 40 in the name, 24 in the category, 12 in the brand."""
-    words, total = ["ring", "small"], F.lit(0)
-    rows = products(spark, sf_dir)
-    for w in words:
-        hit = F.when(F.lower("name").contains(w), 40).otherwise(0) + F.when(F.lower("category").contains(w), 24).otherwise(0) + F.when(F.lower("brand").contains(w), 12).otherwise(0)
-        rows, total = rows.where(hit > 0), total + hit
-    return rows.select("product_id", "name", total.cast("bigint").alias("relevance"))
+    return _rollup(spark, sf_dir, "brand", None).drop("max_price")
 
 
 QUERIES = {f.__name__: f for f in (
-    price_comparison_summary, offer_best_flag, offer_ranking, store_status_rollup, store_winner, duplicate_offers, multi_store_products, products_without_offers, active_brands,
+    price_comparison_summary, offer_best_flag, store_status_rollup, store_winner, duplicate_offers, multi_store_products, products_without_offers, active_brands,
     peer_cheaper_offers, price_quarantine, two_pass_audit, price_windows_7_30_90, history_summary, price_trend_last6, volatility_band, price_change_events, fake_discounts,
-    lifecycle_reconcile, stale_offers, alert_triggers, deal_score, keyset_page, price_drop_topk, integrity_invariants, counter_drift, consecutive_misses, store_center,
-    category_rollup, brand_rollup, facet_counts, dynamic_facets_topk, search_relevance,
+    lifecycle_reconcile, stale_offers, alert_triggers, price_drop_topk, integrity_invariants, counter_drift, consecutive_misses,
+    category_rollup, brand_rollup,
 )}
 
 _SUMMARY = """s AS (
@@ -246,10 +253,6 @@ SQL = {
         SELECT g.*, round(highest_total - best_total, 2) AS saving, round(round(highest_total - best_total, 2) / highest_total * 100, 2) AS saving_percent,
                p_name AS name, p_brand AS brand FROM g JOIN part ON p_partkey = product_id""",
     "offer_best_flag": f"""WITH {SQL_CUR} SELECT product_id, arg_min(store_id, (total, store_id)) AS best_store_id, min(total) AS best_total, count(*) AS offers FROM cur WHERE {_ELIGIBLE} GROUP BY product_id""",
-    "offer_ranking": f"""WITH {SQL_CUR}, x AS (SELECT *, min(total) OVER w AS a, max(total) OVER w AS b, min(shipping) OVER w AS c, max(shipping) OVER w AS d FROM cur WHERE {_SERVING} WINDOW w AS (PARTITION BY product_id)),
-        y AS (SELECT product_id, store_id, total, round(60 * CASE WHEN b > a THEN (b - total) / (b - a) ELSE 1 END + 20 * CASE WHEN d > c THEN (d - shipping) / (d - c) ELSE 1 END
-              + 20 * least(1.0, greatest(0.0, 1 - {_AGE} / 720)), 4) AS score FROM x)
-        SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY score DESC, total, store_id)::INTEGER AS rank FROM y""",
     "store_status_rollup": f"""WITH {SQL_CUR}, g AS (SELECT store_id, count(*) AS offers, count_if({_SERVING})::BIGINT AS serving, count_if({_SERVING} AND {_AGE} <= {STALE})::BIGINT AS fresh FROM cur GROUP BY store_id)
         SELECT *, CASE WHEN fresh > 0 THEN 'ACTIVE' WHEN serving > 0 THEN 'STALE' ELSE 'NO_ACTIVE_OFFER' END AS status FROM g""",
     "store_winner": f"""WITH {SQL_OBS} SELECT product_id, store_id, order_id, line, total FROM obs QUALIFY row_number() OVER (PARTITION BY product_id, store_id ORDER BY total, seen_at DESC, order_id, line) = 1""",
@@ -260,7 +263,8 @@ SQL = {
     "peer_cheaper_offers": f"WITH {SQL_CUR} SELECT a.product_id, a.store_id, count(*) AS cheaper, min(b.total) AS best_peer FROM cur a JOIN cur b ON a.product_id = b.product_id AND a.store_id <> b.store_id AND b.total < a.total GROUP BY ALL",
     "price_quarantine": f"WITH {SQL_CUR}, {_PEERS} SELECT product_id, store_id, price, peers, status FROM v",
     "two_pass_audit": f"""WITH {SQL_CUR}, {_PEERS}, k AS (SELECT product_id, median(price) AS med, count(*) AS kept FROM v WHERE status <> 'QUARANTINED' GROUP BY product_id)
-        SELECT v.product_id, store_id, price, CASE WHEN coalesce(kept, 0) >= 2 AND price BETWEEN 0.35 * med AND 2.75 * med THEN 'RECOVERED' ELSE 'QUARANTINED' END AS second_status
+        SELECT v.product_id, store_id, price, status AS first_status, CASE WHEN price <= 0 THEN 'QUARANTINED' WHEN coalesce(kept, 0) < 2 THEN 'TRUSTED_LOW_EVIDENCE'
+               WHEN price / med < 0.35 OR price / med > 2.75 THEN 'QUARANTINED' ELSE 'TRUSTED' END AS second_status
         FROM v LEFT JOIN k USING (product_id) WHERE status = 'QUARANTINED'""",
     "price_windows_7_30_90": f"WITH {SQL_OBS} SELECT product_id, {_windows()} FROM obs GROUP BY product_id",
     "history_summary": f"""WITH {SQL_OBS}, {_SUMMARY}, c AS (SELECT *, CASE WHEN first_price > 0 THEN round((last_price - first_price) / first_price * 100, 2) END AS change_percent FROM s)
@@ -277,9 +281,6 @@ SQL = {
     "stale_offers": f"WITH {SQL_CUR} SELECT product_id, store_id, seen_at, total FROM cur WHERE {_SERVING} AND NOT {_AGE} <= {STALE}",
     "alert_triggers": f"""WITH {SQL_CUR}, b AS (SELECT product_id, arg_min(store_id, (total, store_id)) AS best_store_id, min(total) AS best_total FROM cur WHERE {_ELIGIBLE} GROUP BY product_id)
         SELECT product_id, best_store_id, best_total, round_even(best_total * 100, 0)::BIGINT AS price_key FROM b JOIN part ON p_partkey = product_id WHERE p_retailprice * 0.6 >= best_total""",
-    "deal_score": f"""WITH {SQL_OBS}, {_SUMMARY}, d AS (SELECT product_id, round(least(100.0, greatest(0.0, 50 + least(30.0, greatest(-30.0, (average - last_price) / average * 100)) + 20 * (1 - least(1.0, (last_price - lowest) / lowest)))), 2) AS score FROM s)
-        SELECT *, CASE WHEN score >= 85 THEN 'super' WHEN score >= 70 THEN 'good' ELSE 'normal' END AS badge FROM d""",
-    "keyset_page": "SELECT p_partkey AS product_id, p_name AS name, p_brand AS brand FROM part WHERE p_partkey > 100 ORDER BY p_partkey LIMIT 24",
     "price_drop_topk": f"""WITH {SQL_OBS}, {_SUMMARY} SELECT product_id, last_price, round((highest - last_price) / highest, 6) AS "drop" FROM s ORDER BY 3 DESC, 1 LIMIT 100""",
     "integrity_invariants": """SELECT 'orphan_products' AS invariant, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
         UNION ALL SELECT 'orphan_stores', count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)
@@ -290,18 +291,8 @@ SQL = {
         SELECT o_orderkey, coalesce(lines, 0) AS lines FROM orders LEFT JOIN s ON o_orderkey = l_orderkey WHERE abs(o_totalprice - coalesce(line_total, 0)) > 0.1 * o_totalprice""",
     "consecutive_misses": f"""WITH {SQL_OBS}, i AS (SELECT store_id, hidden, count_if(NOT hidden) OVER (PARTITION BY store_id ORDER BY seen_at, order_id, line ROWS UNBOUNDED PRECEDING) AS island FROM obs),
         r AS (SELECT store_id, island, count(*) AS n FROM i WHERE hidden GROUP BY ALL) SELECT store_id, max(n) AS longest, count(*) AS runs FROM r GROUP BY store_id""",
-    "store_center": f"""WITH {SQL_CUR}, g AS (SELECT store_id, count(*) AS offers, count_if({_SERVING}) AS active, count(DISTINCT product_id) AS products, count(DISTINCT p_type) AS categories, min(price) AS min_price, max(price) AS max_price, count_if(shipping = 0) AS free
-              FROM cur JOIN part ON p_partkey = product_id GROUP BY store_id)
-        SELECT s_suppkey AS store_id, s_name AS store, n_name AS nation, coalesce(offers, 0) AS offers, coalesce(active, 0)::BIGINT AS active, coalesce(products, 0) AS products, coalesce(categories, 0) AS categories, min_price, max_price,
-               CASE WHEN offers > 0 THEN round(round(active / offers * 100, 1) * 0.7 + round(free / offers * 100, 1) * 0.3, 2) ELSE 0.0 END AS quality
-        FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN g ON g.store_id = s_suppkey""",
     "category_rollup": f"""WITH {SQL_CUR} SELECT p_type AS category, count(DISTINCT product_id) AS products, count(*) AS offers, count(DISTINCT p_brand) AS brands, count(DISTINCT store_id) AS stores, min(price) AS min_price, max(price) AS max_price
         FROM cur JOIN part ON p_partkey = product_id WHERE {_ELIGIBLE} GROUP BY p_type""",
     "brand_rollup": f"""WITH {SQL_CUR} SELECT p_brand AS brand, count(DISTINCT product_id) AS products, count(*) AS offers, count(DISTINCT store_id) AS stores, min(price) AS min_price
         FROM cur JOIN part ON p_partkey = product_id WHERE {_ELIGIBLE} GROUP BY p_brand""",
-    "facet_counts": """SELECT 'brand' AS facet, p_brand AS value, count(*) AS n FROM part GROUP BY p_brand UNION ALL SELECT 'category', p_type, count(*) FROM part GROUP BY p_type
-        UNION ALL SELECT 'size', p_size::VARCHAR, count(*) FROM part GROUP BY p_size""",
-    "dynamic_facets_topk": "SELECT p_brand AS brand, p_size AS size, count(*) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_size)::INTEGER AS rank FROM part GROUP BY p_brand, p_size QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_size) <= 10",
-    "search_relevance": """WITH h AS (SELECT p_partkey AS product_id, p_name AS name, """ + ", ".join(f"""CASE WHEN contains(lower(p_name), '{w}') THEN 40 ELSE 0 END + CASE WHEN contains(lower(p_type), '{w}') THEN 24 ELSE 0 END + CASE WHEN contains(lower(p_brand), '{w}') THEN 12 ELSE 0 END AS h{i}""" for i, w in enumerate(("ring", "small"))) + """ FROM part)
-        SELECT product_id, name, (h0 + h1)::BIGINT AS relevance FROM h WHERE h0 > 0 AND h1 > 0""",
 }

@@ -29,24 +29,35 @@ def change_stream(observations: DataFrame) -> DataFrame:
     """Append on change: product_id, store_id, seen_at, total of observations whose total differs from the offer's last.
 
     The state is one total an offer.  Inside a micro-batch rows go by time,
-    order and line, as in the batch form.
+    order and line, as in the batch form; a batch is compared with itself
+    moved by one, the state in front.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows, out = pd.concat(list(parts)).sort_values(["seen_at", "order_id", "line"]), []
-        for r in rows.itertuples():
-            if last is None or r.total != last:
-                out.append((key[0], key[1], r.seen_at, r.total))
-                last = float(r.total)
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["product_id", "store_id", "seen_at", "total"])
+        rows = pd.concat(list(parts)).sort_values(["seen_at", "order_id", "line"])
+        before = rows["total"].shift(1, fill_value=state.get[0] if state.exists else float("nan"))
+        state.update((float(rows["total"].iloc[-1]),))
+        yield rows.loc[before != rows["total"], ["product_id", "store_id", "seen_at", "total"]]
 
     rows = observations.select("product_id", "store_id", F.col("seen_at").cast("timestamp").alias("seen_at"), "order_id", "line", "total")
-    return rows.groupBy("product_id", "store_id").applyInPandasWithState(step, "product_id bigint, store_id bigint, seen_at timestamp, total double", "last double", "append", GroupStateTimeout.NoTimeout)
+    schema = "product_id bigint, store_id bigint, seen_at timestamp, total double"
+    return rows.groupBy("product_id", "store_id").applyInPandasWithState(step, schema, "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def alerts(changes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Stream-static join: changes whose total is not over the product's target, with the price in cents as their key."""
-    hit = changes.join(targets, "product_id").where("total <= target")
-    return hit.select("product_id", "store_id", "total", F.bround(F.col("total") * 100, 0).cast("bigint").alias("price_key")).dropDuplicates(["product_id", "price_key"])
+def alerts(changes: DataFrame, targets: DataFrame, late: str = "1 day") -> DataFrame:
+    """Stream-static join: changes whose total is not over the product's target, once for each product and price.
+
+    Prices are keyed in cents.  A price that comes again within ``late`` is
+    left out; state older than that goes, so it doesn't grow for ever.  In a
+    batch all repeats are left out.
+    """
+    hit = changes.withColumn("seen_at", F.col("seen_at").cast("timestamp")).withWatermark("seen_at", late).join(targets, "product_id").where("total <= target")
+    hit = hit.select("product_id", "store_id", "seen_at", "total", F.rint(F.col("total") * 100).cast("bigint").alias("price_key"))
+    key = ["product_id", "price_key"]
+    return hit.dropDuplicatesWithinWatermark(key) if changes.isStreaming else hit.dropDuplicates(key)
+
+
+def notifications(fired: DataFrame, late: str = "7 days") -> DataFrame:
+    """One notification for each user and event within ``late``; ``fired`` has user_id, event_key, at."""
+    rows = fired.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", late)
+    return rows.dropDuplicatesWithinWatermark(["user_id", "event_key"]) if fired.isStreaming else rows.dropDuplicates(["user_id", "event_key"])

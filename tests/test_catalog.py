@@ -1,11 +1,20 @@
+"""Catalog queries against their SQL; functions and operators against golden values and brute force."""
+
+import json
+from difflib import SequenceMatcher
+
 import pytest
+from pyspark.sql import functions as F
 
 from pricelake import catalog
+from pricelake.functions import identity as I
+from pricelake.functions import prices as P
 from pricelake.functions import text as T
-from pricelake.operators import history, offers
+from pricelake.operators import compare, history, linkage, offers, operations, search
+from pricelake.operators import scoring as S
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query_equals_sql(name, spark, sf_dir, same):
     same(catalog.QUERIES[name](spark, sf_dir), catalog.SQL[name])
 
@@ -17,19 +26,115 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("raw, price", [("12.499,90 TL", 12499.90), ("1.299", 1299.0), ("1,299.50", 1299.5), ("49,90 TL", 49.9), ("yok", None)])
+def value(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+# --- functions ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("raw, price", [
+    ("48.499 TL", 48499.0), ("48.499,00 TL", 48499.0), ("₺49.999,90", 49999.90), ("49 999 TL", 49999.0), ("48,499.90 TRY", 48499.90),
+    ("12.499,90 TL", 12499.90), ("1.299", 1299.0), ("49,90 TL", 49.9), ("yok", None), ("-5 TL", None), (None, None), ("", None),
+])
 def test_prices(spark, raw, price):
-    from pyspark.sql import functions as F
+    assert value(spark, P.normalize_price(F.lit(raw).cast("string"))) == price
+
+
+def test_selected_prices(spark):
+    got = value(spark, P.select_prices(P.currency_prices(F.lit("eski 52.999,00 TL yeni 48.499,00 TL (₺48.499,00)"))))
+    assert (got.current, got.old) == (48499.0, 52999.0)
+    mentions = value(spark, P.price_mentions(F.lit("ayda 44.956 TL 121.999 TL sepette")))
+    assert [(m.price, m.negative) for m in mentions] == [(44956.0, 1), (121999.0, 0)]
+
 
-    assert spark.createDataFrame([(raw,)], "t string").select(T.parse_price(F.col("t"))).first()[0] == price
+@pytest.mark.parametrize("text, gb", [("1 TB", 1024), ("1.5 TB", 1536), ("1,5TB", 1536), ("512 MB", 1), ("256 GB", 256), ("yok", None), (None, None)])
+def test_capacity(spark, text, gb):
+    assert value(spark, P.capacity_gb(F.lit(text).cast("string"))) == gb
+
+
+@pytest.mark.parametrize("text, active, price, status", [
+    ("mevcut değil", True, 10.0, "out_of_stock"), ("Tükendi!", True, 10.0, "out_of_stock"), ("stokta", False, 10.0, "out_of_stock"), ("Son 3 ürün", True, 10.0, "low_stock"),
+    ("hemen kargo", True, 0.0, "in_stock"), ("Varyant seciniz", True, 0.0, "unknown"), ("kisi person 3 kalem", True, 5.0, "in_stock"), (None, True, None, "unknown"),
+])
+def test_stock(spark, text, active, price, status):
+    assert value(spark, P.stock(F.lit(text).cast("string"), F.lit(active), F.lit(price).cast("double"))["status"]) == status
+
+
+def test_coupons(spark):
+    c = value(spark, P.coupon(F.lit("Kupon kodu: YAZ25 ile %20 indirim, en az 1.500 TL, son tarih: 31.12.2026")))
+    assert (c.code, c.kind, c.percent, c.minimum_basket, c.valid_until) == ("YAZ25", "code", 20.0, 1500.0, "31.12.2026")
+    assert value(spark, P.coupon(F.lit("Sepette indirim"))) is None
 
 
 def test_text_functions(spark):
-    from pyspark.sql import functions as F
+    r = spark.createDataFrame([("İŞIK Çadır -- 2", "HTTP://Shop.EXAMPLE.com//a//b/?x=1#y", "identity_v3:brand=apple|family=x|empty=")], "a string, u string, i string")
+    row = r.select(T.normalize_text(F.col("a")), T.slugify(F.col("a")), T.canonical_url(F.col("u")), T.identity_map(F.col("i"))).first()
+    assert tuple(row) == ("isik cadir 2", "isik-cadir-2", "http://shop.example.com/a/b", {"brand": "apple", "family": "x"})
+    assert value(spark, T.normalize_text(F.lit("Crème Brûlée é Ÿ ﬁ").cast("string"))).startswith("creme brulee e y")
+    assert value(spark, T.slugify(F.lit("日本語"))) == "urun"
+    assert value(spark, T.error_class(F.lit("read timeout"))) == "TIMEOUT"
+    a, b = (value(spark, T.dedupe_key(F.lit(3), F.lit(ref).cast("string"), F.lit("Shop A.Ş. Mağazası"), F.lit("https://x.y/p?q=1"))) for ref in (None, " "))
+    assert a == b and len(a) == 64
+
+
+def parsed(spark, name, brand="", category=""):
+    return value(spark, I.parse(F.lit(name), F.lit(brand), F.lit(category)))
+
+
+def test_identity_golden_rows(spark):
+    one, two, grey, base = (parsed(spark, f"Samsung {t}", "Samsung") for t in ("Fold8 Ultra 5G 1TB Mürdüm Akıllı Telefon Fiyatı ve Özellikleri", "Fold8 Ultra 5G 256 GB Mürdüm", "Fold8 Ultra 5G 1TB Gri", "Fold8 5G 512 GB Gri"))
+    key = lambda name, brand="Samsung": value(spark, I.key_of(I.parse(F.lit(name), F.lit(brand), F.lit(""))))
+    assert (one.storage_gb, two.storage_gb, one.variant, base.variant) == (1024, 256, "ultra", "") and grey.color == "gri"
+    assert key("Samsung Fold8 Ultra 5G 1TB Mürdüm") == key("Samsung Fold8 Ultra 5G 1TB Gri") != key("Samsung Fold8 Ultra 5G 256 GB Mürdüm")
+    assert key("Apple iPhone 17 Pro Max 12 GB 512 GB Siyah", "Apple") != key("Apple iPhone 17 Pro Max 12 GB 1 TB Beyaz", "Apple")
+    tablet, buds, watch = parsed(spark, "Samsung Galaxy Tab A11 8GB 128GB Gümüş Tablet", "Samsung", "Tablet"), parsed(spark, "Xiaomi Redmi Buds 6 Play Siyah", "Xiaomi", "Kulaklık"), parsed(spark, "Apple Watch SE 3 GPS 44mm", "Apple", "Akıllı Saat")
+    assert (tablet.family, tablet.storage_gb, buds.family, watch.family, watch.variant) == ("galaxy tab a11", 128, "redmi buds 6 play", "apple watch se", "3")
+    case = parsed(spark, "Spigen iPhone 15 128 GB uyumlu kılıf", "Spigen", "Aksesuar")
+    assert (case.brand, case.kind, case.storage_gb) == ("spigen", "accessory", None)
+    assert parsed(spark, None).brand == ""
 
-    r = spark.createDataFrame([("İŞIK Çadır -- 2", "HTTP://Shop.EXAMPLE.com//a//b/?x=1#y", "1 TB", "Tükendi!", "identity_v3:brand=apple|family=x")], "a string, u string, c string, s string, i string")
-    row = r.select(T.normalize_text(F.col("a")), T.slugify(F.col("a")), T.canonical_url(F.col("u")), T.capacity_gb(F.col("c")), T.stock_status(F.col("s")), T.identity_map(F.col("i"))).first()
-    assert tuple(row) == ("isik cadir 2", "isik-cadir-2", "http://shop.example.com/a/b", 1024, "OUT_OF_STOCK", {"brand": "apple", "family": "x"})
+
+def identity(**fields):
+    base = {"brand": "", "family": "", "variant": "", "ram_gb": None, "storage_gb": None, "screen_inch": None, "color": "", "network": "", "model_code": "", "product_code": "", "kind": "phone"} | fields
+    kinds = {"ram_gb": "int", "storage_gb": "int", "screen_inch": "double"}
+    return F.struct(*[F.lit(v).cast(kinds.get(k, "string")).alias(k) for k, v in base.items()])
+
+
+def test_group_match_golden_rows(spark):
+    group = identity(brand="apple", family="iphone 15", storage_gb=128)
+    score = lambda p, q: value(spark, linkage.group_score(p, q, F.lit(1.0), F.lit(""), F.lit("")))
+    assert score(identity(brand="apple", family="iphone 15", storage_gb=128, model_code="iphone 15"), group) >= 88
+    assert score(identity(brand="apple", family="iphone 15", storage_gb=256), group) == 0
+    assert value(spark, linkage.variant_gate(identity(brand="apple", family="x y", variant="fe"), identity(brand="apple", family="y z"))) == "variant"
+    assert value(spark, linkage.match_confidence(F.lit(96.0), F.lit(93.0))) == "ambiguous"
+
+
+def test_category_matchers(spark):
+    a, b = identity(brand="samsung", family="galaxy s24", storage_gb=256, network="5g"), identity(brand="samsung", family="galaxy s24", storage_gb=256)
+    assert value(spark, linkage.phone_match(a, a)) == 0.98 and value(spark, linkage.phone_match(a, b)) == 0.0
+    text = lambda t: T.normalize_token(F.lit(t))
+    lenovo = identity(brand="lenovo", family="loq", storage_gb=512, kind="other")
+    assert value(spark, linkage.category_match(lenovo, lenovo, F.lit(1.0), text("Lenovo LOQ 83DV0012TR laptop"), text("lenovo 83dv0012tr"))["score"]) == 0.995
+    plain = identity(brand="philips", kind="other")
+    m = linkage.category_match(plain, plain, F.lit(1.0), text("Philips HD9252 airfryer"), text("Philips HD9252 yedek sepet"))
+    assert (value(spark, m["matcher"]), value(spark, m["score"])) == ("generic", 0.0)
+    assert value(spark, linkage.accessory_role(text("Airfryer yedek hazne"))) == "basket"
+
+
+def test_price_analysis_golden_row(spark):
+    """Prices 100, 95, 90, 85 over 80 days, current 85 in one offer."""
+    score = value(spark, S.price_analysis_score(F.lit(85.0), F.lit(88.75), F.lit(91.0), F.lit(85.0), F.lit(1), F.lit(5)))
+    assert score == round(50 + min(25, 4.23 * 2.5) + min(15, 6.59 * 1.5) + 20)
+    assert value(spark, S.price_analysis_label(F.lit(score), F.lit(5))) in ("super", "good")
+
+
+def test_deal_badges(spark):
+    badge = lambda *v: value(spark, S.deal_badge(*[F.lit(x) for x in v]))
+    assert badge(100.0, 100.0, 120.0, 0.0, 5) == "super" and badge(100.0, 60.0, 80.0, 9.0, 5) == "good" and badge(100.0, 60.0, 80.0, 0.0, 1) == "new" and badge(100.0, 60.0, 80.0, 0.0, 5) == "high"
+
+
+# --- operators --------------------------------------------------------------------
 
 
 def test_quarantine_rules(spark):
@@ -43,9 +148,198 @@ def test_freshness_is_strict(spark):
     assert sorted(r[0] for r in rows.select(offers.fresh("2024-01-01 06:00:00", 6)).collect()) == [False, True]
 
 
+def test_link_decisions_equal_brute_force(spark, sf_dir):
+    """Every decision by plain loops over the same identities."""
+    from pricelake.plans import linkage as L
+
+    got = {r.incoming_key: (r.action, r.confidence, r.candidate_id) for r in L.link_decisions(spark, sf_dir).collect()}
+    inn = [(r.incoming_key, r.p.asDict(), r.identity_key) for r in L._incoming(spark, sf_dir).collect()]
+    cat = [(r.id, r.p.asDict(), r.k) for r in L._folded(spark, sf_dir, 0).withColumn("k", I.key_of(F.col("p"))).collect()]
+
+    def score(p, q):
+        total, hard = 0.0, False
+        if p["brand"] and q["brand"]:
+            total += 24 if p["brand"] == q["brand"] else -60
+        ratio = SequenceMatcher(None, p["family"], q["family"]).ratio()
+        total += 34 if ratio >= 0.98 else 22 if ratio >= 0.84 else -35
+        if p["variant"] == q["variant"]:
+            total += 14 if q["variant"] else 0
+        else:
+            total, hard = total - 45, True
+        for f, n in (("ram_gb", 10), ("storage_gb", 14)):
+            if p[f] is not None and q[f] is not None:
+                total += n if p[f] == q[f] else -50
+                hard |= p[f] != q[f]
+        if p["model_code"] and q["model_code"]:
+            total += 55 if p["model_code"] == q["model_code"] else -55
+            hard |= p["model_code"] != q["model_code"]
+        return max(0.0, min(100.0, total)), hard
+
+    for key, p, k in inn:
+        exact = [i for i, _, x in cat if x == k]
+        near = sorted((i for i, q, _ in cat if q["brand"] == p["brand"]), reverse=True)[:250]
+        scored = [(score(p, q)[0], i, score(p, q)[1]) for i, q, _ in cat if i in near]
+        if exact:
+            want = ("AUTO_MATCH", 100.0, min(exact))
+        else:
+            best = max(scored, default=None)
+            if best and best[0] >= 90 and not best[2]:
+                want = ("AUTO_MATCH", best[0], best[1])
+            elif best and (best[0] >= 55 or best[2]):
+                want = ("REVIEW", best[0], best[1])
+            else:
+                known = sum((bool(p["brand"]), bool(p["family"]), bool(p["model_code"]), p["storage_gb"] is not None))
+                want = ("CREATE_NEW", 82.0 if known >= 3 else 74.0, None) if p["brand"] and p["family"] else ("REVIEW", 35.0, None)
+        assert got[key] == want
+    assert {a for a, _, _ in got.values()} >= {"AUTO_MATCH", "REVIEW"}
+
+
+def test_group_matches_take_the_best(spark, sf_dir):
+    from pricelake.plans import linkage as L
+
+    rows = L.group_matches(spark, sf_dir).collect()
+    assert rows and all(r.score >= r.second_score and 0 < r.score <= 100 for r in rows)
+    assert all((r.confidence == "none") == (r.score < 88) for r in rows)
+
+
+def profile(**fields):
+    base = {"product_id": 1, "name": "", "brand": "", "model": "", "family": "phone", "ram": None, "storage": None, "screen": None, "refresh": None, "cpu": None, "gpu": None, "network": None, "price": 100.0,
+            "offers": 3, "deal": 80, "confidence": 90, "updated_at": 1}
+    return tuple((base | fields).values())
+
+
+PROFILE = "product_id long, name string, brand string, model string, family string, ram double, storage double, screen double, refresh double, cpu string, gpu string, network boolean, price double, offers long, deal int, confidence int, updated_at long"
+
+
+def test_similarity_and_recommendations(spark):
+    rows = [
+        profile(product_id=1, name="x one", brand="Acme", model="x one", ram=8.0, storage=256.0, network=True), profile(product_id=2, name="x one", brand="Acme", model="x one", ram=8.0, storage=256.0, network=True, price=90.0),
+        profile(product_id=3, name="x one", brand="Acme", model="x one", ram=8.0, storage=256.0, network=False, price=110.0), profile(product_id=4, name="x one", brand="Acme", model="x one", family="tablet"),
+    ]
+    p = compare.profiled(spark.createDataFrame(rows, PROFILE))
+    a, b = (p.select(F.struct(*p.columns).alias(c)) for c in "ab")
+    s = {(r.i, r.j): (r.s.score, r.s.compatible) for r in a.crossJoin(b).select(F.col("a.product_id").alias("i"), F.col("b.product_id").alias("j"), compare.similarity(F.col("a"), F.col("b")).alias("s")).collect()}
+    assert s[1, 2][0] > 95 and s[1, 3] == (64.0, True) and s[1, 4] == (0.0, False) and s[1, 1] == (0.0, False)
+    got = {(r.product_id, r.candidate_id): r.bucket for r in compare.recommendations(spark.createDataFrame(rows, PROFILE)).collect()}
+    assert got[1, 2] == "cheaper_same_performance" and (1, 4) not in got
+
+
+def test_recommendations_equal_brute_force(spark, sf_dir):
+    """Buckets and places from the similarities of the whole table."""
+    from pricelake.plans import compare as C
+
+    p = {r.product_id: r for r in C._profiles(spark, sf_dir).collect()}
+    prof = compare.profiled(C._profiles(spark, sf_dir))
+    newest = {}
+    for r in p.values():
+        newest.setdefault(r.family, []).append((r.updated_at, r.product_id))
+    newest = {f: {i for _, i in sorted(v, reverse=True)[:160]} for f, v in newest.items()}
+    a, b = prof.select("family", F.struct(*prof.columns).alias("a")), prof.select("family", F.struct(*prof.columns).alias("b"))
+    pairs = a.join(b, "family").where("a.product_id <> b.product_id").select(F.col("a.product_id").alias("i"), F.col("b.product_id").alias("j"), compare.similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    rows = {}
+    for r in pairs:
+        x, y = p[r.i], p[r.j]
+        if r.j not in newest[x.family] or not r.s.compatible:
+            continue
+        d = (y.price - x.price) / x.price * 100
+        price = min(100.0, 70 + abs(d) * 1.5) if d <= 0 else max(0.0, 70 - d * 2)
+        total = r.s.score * 0.55 + y.deal * 0.20 + price * 0.15 + min(100.0, y.offers / 5 * 100) * 0.05 + y.confidence * 0.05
+        score = int(total * 10 + 0.5) / 10
+        if y.confidence < 35 or r.s.score < 45:
+            continue
+        bucket = (
+            "cheaper_same_performance" if d <= -3 and r.s.score >= 60 else "best_value" if y.deal >= 75 and score >= 70 else "upgrade" if 3 <= d <= 35 and r.s.score >= 65 else "safe_alternative" if r.s.score >= 58 else None
+        )
+        if bucket:
+            rows.setdefault((r.i, bucket), []).append((-score, r.j))
+    want = {(i, k, n + 1): (j, -s) for (i, k), v in rows.items() for n, (s, j) in enumerate(sorted(v)[:4])}
+    got = {(r.product_id, r.bucket, r.place): (r.candidate_id, r.score) for r in C.recommendations(spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and sum(got[k] != want[k] for k in want) <= len(want) // 500  # a score on a rounding edge may differ
+
+
+def test_alternatives_equal_brute_force(spark):
+    rows = [(i, "c" if i % 4 else "d", 100.0 + (i * 37) % 50, (i * 13) % 90, i % 100, i % 7, i) for i in range(1, 41)]
+    df = spark.createDataFrame(rows, "product_id long, category string, price double, deal int, confidence int, offers long, updated_at long")
+    got = {}
+    for r in compare.alternatives(df, most=30).collect():
+        got.setdefault(r.product_id, []).append((r.place, r.candidate_id))
+    for i, c, price, *_ in rows:
+        pool = sorted((r for r in rows if r[1] == c), key=lambda r: (-r[6], -r[0]))[:31]
+        pool = [r for r in pool if r[0] != i]
+        far = lambda r: abs(r[2] - price) / price * 100
+        lead = [min(pool, key=lambda r: (r[2], r[0])), min(pool, key=lambda r: (-r[3], -r[4], r[0])), min(pool, key=lambda r: (far(r), r[0]))]
+        order = list(dict.fromkeys([r[0] for r in lead] + [r[0] for r in sorted(pool, key=lambda r: (-r[3], far(r), -r[5], r[0]))]))
+        assert [j for _, j in sorted(got[i])] == order[:4]
+
+
+def test_autocomplete_equals_brute_force(spark):
+    names = ["Galaxy S21", "Galaxy S21 Ultra", "iPhone 15", "Redmi Note 12", "Galaxy Tab S9"]
+    got = [(r.kind, r["name"], round(r.score, 6)) for r in search.autocomplete(spark.createDataFrame([(n,) for n in names * 2], "name string"), "galaxy s21 telefon").collect()]
+    q = "galaxy s21 telefon"
+    scored = [(SequenceMatcher(None, q, n.lower()).ratio() + (0.6 if q in n.lower() else 0), n) for n in names]
+    want = [("query", "telefon fiyat performans", 2.0), ("query", "30 bin altı telefon", 2.0)]
+    want += [("product", n, round(s, 6)) for s, n in sorted(scored, key=lambda x: (-x[0], x[1])) if s >= 0.45]
+    assert got == want[:8]
+
+
+def test_cursor_pages(spark):
+    rows = spark.range(1, 61).withColumnRenamed("id", "product_id")
+    seen, cursor = [], None
+    while True:
+        page = search.keyset_page(rows, "product_id", cursor, 24).collect()
+        seen += [r.product_id for r in page]
+        if not page[0].has_more:
+            break
+        cursor = page[0].next_cursor
+        assert search.decode_cursor(cursor) == page[-1].product_id
+    assert seen == list(range(1, 61)) and search.decode_cursor("!!") == 0
+    assert value(spark, search.page_items(F.lit(5), F.lit(9))) == [1, 3, 4, 5, 6, 7, 9]
+
+
+def test_quiet_hours(spark):
+    at = lambda t: F.lit(f"2024-01-05 {t}").cast("timestamp_ntz")
+    go = lambda t, s, e: str(value(spark, operations.next_allowed(at(t), F.lit(True), F.lit(s), F.lit(e))))
+    assert go("23:10:00", "22:00", "08:00") == "2024-01-06 08:00:00" and go("07:59:59", "22:00", "08:00") == "2024-01-05 08:00:00"
+    assert go("12:00:00", "22:00", "08:00") == "2024-01-05 12:00:00" and go("12:00:00", "10:00", "10:00") == "2024-01-06 10:00:00"
+
+
+def test_log_round_trip(spark, tmp_path):
+    (tmp_path / "log.jsonl").write_text('{"timestamp":"2024-01-01T00:00:00","level":"ERROR","source":"a","event_type":"x","message":"m"}\nbroken{\n' + json.dumps({"level": "INFO"}) + "\n")
+    log = operations.read_log(spark, str(tmp_path / "log.jsonl"))
+    assert log.count() == 2
+    assert operations.log_page(log, F.lit("2024-01-01 10:00:00").cast("timestamp_ntz"), hours=24, level="error").count() == 1
+    operations.write_lines(log, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_sanitized_metadata(spark):
+    raw = json.dumps({"Email": "a", "n": 1, "deep": {"a": {"b": {"c": 1}}}, "list": list(range(30)), "text": "x" * 300})
+    got = json.loads(spark.createDataFrame([(raw,)], "j string").select(operations.sanitized("j").alias("x")).first()["x"])
+    assert got["n"] == 1 and "Email" not in got and len(got["list"]) == 20 and len(got["text"]) == 250 and got["deep"] == {"a": {"b": {}}}
+
+
+# --- plans ------------------------------------------------------------------------
+
+
+def test_plans_do_not_sort_or_expand(spark, sf_dir, capsys):
+    """Current offers come from a hash aggregate; roll-ups multiply no row for a count."""
+    from pricelake.sources.tables import current_offers
+
+    def plan(df):
+        df.explain()
+        return capsys.readouterr().out
+
+    assert "SortAggregate" not in plan(current_offers(spark, sf_dir))
+    for name in ("store_center", "category_rollup", "brand_rollup"):
+        assert "Expand" not in plan(catalog.QUERIES[name](spark, sf_dir))
+
+
+# --- streams ----------------------------------------------------------------------
+
+
 def test_change_stream_equals_batch(spark, sf_dir, tmp_path):
     from pricelake.sources.tables import observations
-    from pricelake.streaming.events import change_stream
+    from pricelake.streaming.events import alerts, change_stream
 
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     rows = observations(spark, sf_dir).where("product_id <= 10")
@@ -56,6 +350,12 @@ def test_change_stream_equals_batch(spark, sf_dir, tmp_path):
     q.stop()
     key = lambda r: (r.product_id, r.store_id, r.total)
     assert sorted(map(key, spark.table("changes").collect())) == sorted(map(key, history.changes(rows).collect()))
+    targets = spark.range(5).selectExpr("id as product_id", "1e9 as target")
+    batch = alerts(spark.table("changes"), targets).select("product_id", "price_key").collect()
+    q = alerts(change_stream(stream), targets, "3650 days").writeStream.format("memory").queryName("fired").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.product_id, r.price_key) for r in spark.table("fired").collect()) == sorted((r.product_id, r.price_key) for r in batch) != []
 
 
 def test_hourly_counts_and_validation(spark, sf_dir):
