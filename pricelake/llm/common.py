@@ -6,19 +6,27 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as every contract here uses it.
 SPACE = r"[\x20\x09-\x0D]+"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; on one machine a folder of our own where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="pricelake-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = f"file://{own}"
@@ -26,17 +34,54 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
+@contextmanager
+def _shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Inside, an execution's shuffle files go when it ends."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+class Scratch:
+    """Tables of one computation in the shared folder, dropped by name as others supersede them.
 
-    This cuts lineage so that a lost executor costs one stage, and keeps rows
-    that Python has made from being made twice.  The plan's shuffle files are
-    of no use then; a collection on the driver lets Spark's cleaner delete them.
+    A written table cuts lineage, so that a lost executor costs one step, and
+    keeps rows that Python has made from being made twice.
     """
-    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}", {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as written and read back; a table put under the name before goes."""
+        before, path = self.paths.get(name), f"{self.root}/{name}-{uuid.uuid4().hex}"
+        with _shuffles_end(self.spark):
+            df.write.parquet(path)
+        self.paths[name] = path
+        if before:
+            _delete(before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables; nothing that is still to be computed may read them."""
+        for name in names:
+            _delete(self.paths.pop(name))
+
+
+def _delete(path: str) -> None:
+    where, name = fs.FileSystem.from_uri(path)
+    where.delete_dir(name)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """One table in the shared folder, see `Scratch`."""
+    return Scratch(df.sparkSession, name).put(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +105,14 @@ def batches(texts: list, ids: list, chars: int = 4_000_000) -> Iterable[tuple[li
         yield ids[lo:], texts[lo:]
 
 
-def cell_of(cells: int, *cols: Column) -> Column:
-    """A cell from 0 to ``cells`` - 1 by hash."""
-    return F.pmod(F.xxhash64(*cols), F.lit(cells)).cast("int")
+_held: tuple[Any, Any] = (None, None)
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """This process's large object of a key, made when first asked for; another key's goes, as workers live on through other stages."""
+    global _held
+    if _held[0] != key:
+        _held = (None, None)
+        pa.default_memory_pool().release_unused()
+        _held = (key, make())
+    return _held[1]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Scratch
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,10 +13,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each step is two aggregations and two joins; a node with many neighbours
     is folded before its shuffle, and its join can be split.  Every round is
-    written to the shared folder; the driver sees one row a round.
+    written to the shared folder and replaces the one before; the driver sees
+    one row a round.  Repeated edges and loops change nothing; without edges
+    the result is empty.
     """
-    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
+    scratch = Scratch(edges.sparkSession, "components")
+    falling = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now, seen = scratch.put(falling, "edges"), None
     while (sign := now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()) != seen:
         seen = sign
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -24,6 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        now = materialise(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
-    return now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        star = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))
+        small = down.join(least, "a").select(star.alias("e"))
+        now = scratch.put(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+    leaves = now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
+    return leaves.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

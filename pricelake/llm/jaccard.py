@@ -23,10 +23,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, id_text, materialise
+from .common import Scratch, batches, id_text
 from .components import components
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -77,29 +77,43 @@ def classes_of(n: int, num: int, den: int) -> list[int]:
     return out
 
 
-def blocks(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The keys of the blocks that a set is in: class, group and the group's shingles, hashed.
+#: Low bits of a block's key that hold its size class.
+_CLASS_BITS = 6
 
-    In a class with sets up to b, linked sets differ in D = 2b(den-num)/(den+num)
-    shingles at most, so at most D groups differ.  If either set has more than
-    D groups that aren't empty, one of these is the same in both.  There are a
-    few groups more than D + 1, so that nearly every set has so many; one that
-    hasn't is also in the blocks of its empty groups.
+
+def blocks(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
+    """The keys of the blocks that a set is in (group and its shingles hashed, with the class), and for each class how many can be left out.
+
+    A class with sets up to b has more groups than shingles in which linked
+    sets of it differ, 2b(den-num)/(den+num) at most.  A set of n differs from
+    its partners, whose sizes are at most b and n*den/num, in D shingles at
+    most, so at most D of its groups differ.  If it has f > D groups that aren't
+    empty, f - D of them or more are the same in any set that it links with.
+    There are a few groups more than needed, so that nearly every set has so
+    many; one that hasn't is also in the blocks of its empty groups, and two
+    such sets have one group at least in common, empty or not.
+
+    So a set may leave out its f - D - 1 most frequent blocks: of the blocks
+    that two linked sets have in common the rarest stays in both.
     """
-    tops, out = size_classes(), []
+    tops, out, spare, n = size_classes(), [], [], len(s)
     where, what = mix(s + _ODD[1]), mix(s + _ODD[2])
-    for k in classes_of(len(s), num, den):
-        differ = 2 * tops[k] * (den - num) // (den + num)
-        groups = differ + 1 + (differ + 7) // 8 + (differ > 0)
+    low = np.uint64((1 << _CLASS_BITS) - 1)
+    for k in classes_of(n, num, den):
+        widest = 2 * tops[k] * (den - num) // (den + num)
+        groups = widest + 1 + (widest + 7) // 8 + (widest > 0)
+        differ = (n + min(tops[k], n * den // num)) * (den - num) // (den + num)
         g = (where % np.uint64(groups)).astype(np.int64)
         order = np.argsort(g, kind="stable")
         full, first = np.unique(g[order], return_index=True)
         sums = np.add.reduceat(what[order], first)
+        spare.append(max(0, len(full) - differ - 1))
         if len(full) <= differ:
             empty = np.setdiff1d(np.arange(groups), full)
             full, sums = np.concatenate([full, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
-        out.append(mix(mix(sums + full.astype(np.uint64) * _ODD[3]) + np.uint64((k + 1) * int(_ODD[4]) & 0xFFFFFFFFFFFFFFFF)))
-    return np.concatenate(out)
+        key = mix(mix(sums + full.astype(np.uint64) * _ODD[3]) + np.uint64((k + 1) * int(_ODD[4]) & 0xFFFFFFFFFFFFFFFF))
+        out.append(key & ~low | np.uint64(k))
+    return np.concatenate(out), spare
 
 
 def point(s: np.ndarray) -> np.ndarray:
@@ -181,11 +195,27 @@ def _minima(q: np.ndarray, boxes: np.ndarray, asks: np.ndarray, at: np.ndarray,
 _SENT = 1 << 19
 
 
-def signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, set_hash (128 bits), keys, point of every row of ``docs`` (doc_id, text).
+def signatures(docs: DataFrame, words: int, num: int, den: int, passes: int) -> DataFrame:
+    """doc_id, n, set_hash (128 bits), point, first_class, spare, keys_0 to keys_(passes - 1) of every row of ``docs`` (doc_id, text).
 
-    Of rows with one set a task gives keys and point once, with the first that has an id.
+    Of rows with one set a task gives keys and point once, with the first that
+    has an id.  `spare` has a number for each class from the first one on.
+    Keys are dealt into ``passes`` columns by their leading bits,
+    so that each pass reads its own alone.
     """
+    fields = [("doc_id", pa.int64()), ("n", pa.int64()), ("set_hash", pa.binary()), ("point", pa.binary()), ("first_class", pa.int32()), ("spare", pa.list_(pa.int32()))]
+    fields += [(f"keys_{r}", pa.list_(pa.int64())) for r in range(passes)]
+
+    def dealt(keys: list[np.ndarray]) -> list[pa.Array]:
+        flat = np.concatenate([np.zeros(0, np.uint64), *keys])
+        doc = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        own = ((flat >> np.uint64(32)) * np.uint64(passes)) >> np.uint64(32)
+        out = []
+        for r in range(passes):
+            mine = own == r
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc[mine], minlength=len(keys)))])
+            out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[mine].view(np.int64))))
+        return out
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
@@ -193,21 +223,22 @@ def signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             for ids, texts in batches(part.column(1).to_pylist(), part.column(0).to_pylist()):
                 sets = [shingle_set(t, words) for t in texts]
                 hashes = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
-                keys, points = [], []
+                keys, spares, points = [], [], []
                 for doc, s, h in zip(ids, sets, hashes):
                     new = len(s) > 0 and doc is not None and h not in sent
-                    keys.append(blocks(s, num, den).view(np.int64) if new else np.zeros(0, np.int64))
+                    key, spare = blocks(s, num, den) if new else (np.zeros(0, np.uint64), [])
+                    keys.append(key)
+                    spares.append(spare)
                     points.append(packed(point(s)) if new else None)
                     if new and len(sent) < _SENT:
                         sent.add(h)
-                ends = np.cumsum([0, *map(len, keys)])
-                flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(points, pa.binary())],
-                    names=["doc_id", "n", "set_hash", "keys", "point"],
-                )
+                first = [classes_of(len(s), num, den)[0] if x else None for s, x in zip(sets, spares)]
+                cols = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.binary()), pa.array(points, pa.binary())]
+                cols += [pa.array(first, pa.int32()), pa.array(spares, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*cols, *dealt(keys)], schema=pa.schema(fields))
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, set_hash binary, keys array<bigint>, point binary")
+    ddl = ", ".join(f"keys_{r} array<bigint>" for r in range(passes))
+    return docs.mapInArrow(run, f"doc_id bigint, n bigint, set_hash binary, point binary, first_class int, spare array<int>, {ddl}")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int, part: int = 64) -> DataFrame:
@@ -237,46 +268,102 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int,
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+#: Tiles of at most so many pairs are held against each other directly: an R-tree of one leaf has nothing to leave out.
+_FEW = 1024
+#: Rows of tiles that are searched together.
+_TOGETHER = 16_384
+
+
 def tile_search(members: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) that may link, of ``members``: key, tile, asks (the row's side), node, component, point.
 
-    Rows of a tile are streamed sorted, the searched side first; its R-tree is
-    built once and asked by each row of the other side.  Tiles of one side ask
-    themselves.  Pairs in one component are left out.
+    Rows of a tile come sorted, the searched side first; its R-tree is built
+    once and asked by all rows of the other side.  Tiles of one side ask
+    themselves.  Tiles are taken many at a time, as most are small.  Pairs in
+    one component are left out.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> Iterator[tuple[int, int]]:
-            dims = min(len(p) for _, _, p in [*held, *asking])
-            tree = RTree([p for _, _, p in held], dims, num, den)
-            asked = asking or held
-            i, j = tree.query([p for _, _, p in asked])
-            node, comp = (np.array([x[k] for x in held]) for k in (0, 1))
-            own, own_comp = (np.array([x[k] for x in asked]) for k in (0, 1))
-            apart = own_comp[i] != comp[j]
-            one, two = own[i[apart]], node[j[apart]]
-            return zip(np.minimum(one, two).tolist(), np.maximum(one, two).tolist())
-
-        at, held, asking, out = None, [], [], set()
+        rest: pa.Table | None = None
         for batch in parts:
-            for key, tile, asks, node, comp, raw in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if at != (key, tile):
-                    if held:
-                        out.update(found())
-                    at, held, asking = (key, tile), [], []
-                (asking if asks else held).append((node, comp, unpacked(raw)))
-            if len(out) > 50_000:
-                yield _pairs(out)
-                out = set()
-        if held:
-            out.update(found())
-        yield _pairs(out)
+            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            starts = _tile_starts(rows)
+            cut = int(starts[-1]) if len(starts) else 0  # the last tile may go on
+            if rows.num_rows >= _TOGETHER and cut:
+                yield _search(rows.slice(0, cut), num, den)
+                rows = rows.slice(cut)
+            rest = rows
+        if rest is not None and rest.num_rows:
+            yield _search(rest, num, den)
 
     return members.repartition("key", "tile").sortWithinPartitions("key", "tile", "asks").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+def _tile_starts(rows: pa.Table) -> np.ndarray:
+    """Where the tiles begin."""
+    if not rows.num_rows:
+        return np.zeros(0, np.int64)
+    key = rows.column(0).to_numpy()
+    tile = rows.column(1).combine_chunks().dictionary_encode()
+    tile = np.concatenate([np.asarray(c.indices) for c in tile.chunks]) if isinstance(tile, pa.ChunkedArray) else np.asarray(tile.indices)
+    return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]))
+
+
+def _search(rows: pa.Table, num: int, den: int) -> pa.RecordBatch:
+    """`tile_search` of whole tiles."""
+    starts = _tile_starts(rows)
+    ends = np.append(starts[1:], rows.num_rows)
+    asks = rows.column(2).to_numpy().astype(bool)
+    node, comp = rows.column(3).to_numpy(), rows.column(4).to_numpy()
+    points = [unpacked(x) for x in rows.column(5).to_pylist()]
+    asking = np.add.reduceat(asks.astype(np.int64), starts)
+    held = ends - starts - asking
+    few = np.where(asking > 0, held * asking, held * (held - 1) // 2) <= _FEW
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    shapes = held * (rows.num_rows + 1) + asking
+    for shape in np.unique(shapes[few]):
+        at = starts[few & (shapes == shape)]
+        h, k = divmod(int(shape), rows.num_rows + 1)
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(h, h + k), np.arange(h), indexing="ij")) if k else np.triu_indices(h, 1)
+        left.append((at[:, None] + i).ravel())
+        right.append((at[:, None] + j).ravel())
+    one, two = _may_link(np.concatenate(left), np.concatenate(right), points, comp, num, den)
+    left, right = [one], [two]
+    for t in np.flatnonzero(~few):
+        lo, middle, hi = int(starts[t]), int(starts[t] + held[t]), int(ends[t])
+        dims = min(len(p) for p in points[lo:hi])
+        tree = RTree(points[lo:middle], dims, num, den)
+        first = middle if asking[t] else lo
+        i, j = tree.query(points[first:hi] if asking[t] else points[lo:middle])
+        i, j = i + first, j + lo
+        apart = comp[i] != comp[j]
+        left.append(i[apart])
+        right.append(j[apart])
+    one, two = node[np.concatenate(left)], node[np.concatenate(right)]
+    found = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in (0, 1)], names=["a", "b"])
+
+
+def _may_link(i: np.ndarray, j: np.ndarray, points: list[np.ndarray], comp: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs that lie in different components and that neither their sizes nor their count vectors exclude."""
+    sizes = np.fromiter((int(p.sum()) for p in points), np.int64, len(points))
+    keep = comp[i] != comp[j]
+    i, j = i[keep], j[keep]
+    need = needed(sizes[i], sizes[j], num, den)
+    keep = need <= np.minimum(sizes[i], sizes[j])
+    i, j, need = i[keep], j[keep], need[keep]
+    of = np.fromiter(map(len, points), np.int64, len(points))
+    dims = np.minimum(of[i], of[j])
+    coarse = np.stack([folded(p, 16) for p in points]) if len(points) else np.zeros((0, 16), np.int64)
+    keep = _minima(coarse, coarse, i, j) >= need
+    i, j, need, dims = i[keep], j[keep], need[keep], dims[keep]
+    ok = np.ones(len(i), bool)
+    for d in np.unique(dims[dims > 16]):
+        own = np.flatnonzero(dims == d)
+        used, back = np.unique(np.concatenate([i[own], j[own]]), return_inverse=True)
+        fine = np.stack([folded(points[k], int(d)) for k in used])
+        ok[own] = _minima(fine, fine, back[: len(own)], back[len(own) :]) >= need[own]
+    return i[ok], j[ok]
 
 
 def not_excluded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
@@ -314,21 +401,54 @@ def _tiles(members: DataFrame) -> DataFrame:
     return rows.select("key", "t.tile", "t.asks", "node", "component")
 
 
-def _component_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """node, component of all ``nodes``."""
-    return materialise(nodes.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
+def block_members(sigs: DataFrame, node: DataFrame, scratch: Scratch, passes: int) -> DataFrame:
+    """key, node, size, head_node, head_size of each member of a block, its head (the smallest node) apart.
 
-
-def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    Most keys occur once.  They are found pass by pass, each over a range of
+    keys, so that only a part of all keys is ever shuffled at a time; the
+    counts are written before the join, and a pass's shuffle files go before
+    the next.  Then each set leaves out its most frequent blocks, as many as it
+    can (see `blocks`), so what a common passage or a short group gathers goes.
+    """
+    posts = None
+    for r in range(passes):
+        own = sigs.select("doc_id", F.explode(f"keys_{r}").alias("key"))
+        shared = own.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        own = scratch.put(own.join(scratch.put(shared, "shared"), "key"), f"posts-{r}")
+        posts = own if posts is None else posts.unionByName(own)
+    budget = sigs.where("point is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("sets"), F.first("first_class").alias("first_class"), F.first("spare").alias("spare"))
+    size_class = F.col("key").bitwiseAND(F.lit((1 << _CLASS_BITS) - 1)).cast("int")
+    rows = posts.join(budget, "doc_id").withColumn("class", size_class)
+    often = Window.partitionBy("doc_id", "class").orderBy(F.desc("c"), F.desc("key"))
+    spare = F.when(F.col("sets") == 1, F.try_element_at("spare", F.col("class") - F.col("first_class") + 1)).otherwise(0)
+    kept = rows.withColumns({"place": F.row_number().over(often), "left_out": F.coalesce(spare, F.lit(0))}).where("place > left_out").select("doc_id", "key")
+    kept = kept.join(node.toDF("doc_id", "node", "size"), "doc_id").select("key", "node", "size").distinct()
+    kept = scratch.put(kept, "kept")
+    scratch.drop("shared", *[f"posts-{r}" for r in range(passes)])
+    heads = kept.groupBy("key").agg(F.min("node").alias("head_node"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "head_node")
+    heads = heads.join(node.select(F.col("node").alias("head_node"), F.col("n").alias("head_size")).distinct(), "head_node")
+    return scratch.put(kept.join(heads, "key").where("node <> head_node"), "blocks")
+
+
+def jaccard_components(
+    docs: DataFrame,
+    words: int = 4,
+    num: int = 85,
+    den: int = 100,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    passes: int = 4,
+) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id for each row of ``docs``; sets link when den * overlap >= num * union.
 
     `class_id` is the smallest id with the same set, `component_id` the
     smallest id reachable over links.  Steps, each on slim columns:
 
-    1. Sets, sizes, block keys of all rows, from whole texts (written once).
+    1. Sets, sizes, block keys of all rows, from whole texts (written once,
+       dropped when the blocks stand).
     2. Every block's smallest id is its head.  Each member (folded to classes
        of equal sets) is verified against that of its heads with which it
-       shares most blocks.
+       shares most blocks, if their count vectors allow a link.
     3. Components of the links found.  In a block whose members all fell into
        one component nothing is left to find.
     4. In the others, members outside the head's component search the block's
@@ -342,35 +462,37 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     Null text is empty text; rows without words link with nothing and have
     themselves as component.  Rows without an id take their class's component
     (null if none of the class has an id).  Rows that share an id count as
-    one document with the links of each.  Other columns are ignored; an empty
-    table gives an empty result.
+    one document with the links of each.  Very long texts are one set each.
+    Other columns are ignored; an empty table gives an empty result.
     """
+    scratch = Scratch(docs.sparkSession, "jaccard")
     rows = id_text(docs, id_col, text_col)
-    sigs = materialise(signatures(rows, words, num, den), "signatures")
+    sigs = scratch.put(signatures(rows, words, num, den, passes), "signatures")
     classes = sigs.where("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("class_id"))
     slim = sigs.select("doc_id", "n", "set_hash").join(classes, "set_hash", "left")
-    slim = materialise(slim.select("doc_id", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")), "classes")
+    slim = scratch.put(slim.select("doc_id", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")), "classes")
 
     node = slim.where("n > 0 and doc_id is not null").select("doc_id", F.col("class_id").alias("node"), "n").distinct()
-    posts = sigs.select("doc_id", F.explode("keys").alias("key"))
-    heads = posts.groupBy("key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "head")
-    heads = materialise(heads, "heads")  # its shuffle goes before the next one of as many rows
-    member = posts.join(heads, "key").where("doc_id <> head")
-    member = member.join(node.toDF("doc_id", "node", "size"), "doc_id").join(node.toDF("head", "head_node", "head_size"), "head").where("node <> head_node")
-    member = materialise(member.select("key", "node", "size", "head_node", "head_size").distinct(), "blocks")
+    member = block_members(sigs, node, scratch, passes)
+    asked = scratch.put(member.select("node").union(member.select("head_node")).distinct(), "asked")
+    points = sigs.where("point is not null").select("doc_id", "point").join(node, "doc_id").join(asked, "node", "left_semi")
+    points = scratch.put(points.select("node", "point").distinct(), "points")  # several where one id has several texts
+    scratch.drop("signatures")
 
     fits = member.where(f"{num} * greatest(size, head_size) <= {den} * least(size, head_size)")
     shared = fits.groupBy("node", "head_node").agg(F.count(F.lit(1)).alias("shared"))
     best = shared.groupBy("node").agg(F.max_by("head_node", F.struct("shared", -F.col("head_node"))).alias("head_node"))
     pairs = best.select(F.least("node", "head_node").alias("a"), F.greatest("node", "head_node").alias("b")).distinct()
-    asked = member.select("node").union(member.select("head_node")).distinct()
-    points = sigs.where("point is not null").select("doc_id", "point").join(node, "doc_id").join(asked, "node", "left_semi")
-    points = materialise(points.select("node", "point").distinct(), "points")  # several where one id has several texts
-    pairs = materialise(not_excluded(pairs, points, num, den), "pairs")
-    texts = materialise(rows.join(asked, rows["doc_id"] == asked["node"], "left_semi").select(F.col("doc_id").alias("node"), "text"), "candidates")
-    links = materialise(verified(pairs, texts, words, num, den), "links")
+    pairs = scratch.put(not_excluded(pairs, points, num, den), "pairs")
+    texts = rows.join(asked, rows["doc_id"] == asked["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
+    texts = scratch.put(texts, "candidates")
+    links = scratch.put(verified(pairs, texts, words, num, den), "head-links")
+
+    def component_of(links: DataFrame, name: str) -> DataFrame:
+        of = asked.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        return scratch.put(of, name)
 
-    of = _component_of(asked, links)
+    of = component_of(links, "first-components")
     head_of = of.select(F.col("node").alias("head_node"), F.col("component").alias("head_component"))
     every = member.select("key", "node", "head_node").unionByName(member.select("key", F.col("head_node").alias("node"), "head_node").distinct())
     every = every.distinct().join(of, "node").join(head_of, "head_node").select("key", "node", "component", "head_component")
@@ -380,27 +502,32 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
         *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (1, 2)],
     )
     mixed = mixed.where("lo < hi").groupBy("c", "x1", "x2").agg(F.min("key").alias("key")).select("key")
-    every = materialise(every.join(mixed, "key"), "mixed")
-    open_ = materialise(tile_search(_tiles(every).join(points, "node").select("key", "tile", "asks", "node", "component", "point"), num, den), "survivors")
+    every = scratch.put(every.join(mixed, "key"), "mixed")
+    tiles = _tiles(every).join(points, "node").select("key", "tile", "asks", "node", "component", "point")
+    open_ = scratch.put(tile_search(tiles, num, den), "survivors")
     # of a node's survivors one in each other component is verified first; that leaves few for the rest
     known = open_.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b")
-    first = materialise(known.groupBy("a", "cb").agg(F.min("b").alias("b")).select("a", "b"), "first")
-    links = materialise(links.unionByName(verified(first, texts, words, num, den)), "links")
-    of = _component_of(asked, links)
+    first = scratch.put(known.groupBy("a", "cb").agg(F.min("b").alias("b")).select("a", "b"), "first")
+    links = scratch.put(links.unionByName(verified(first, texts, words, num, den)), "links")
+    of = component_of(links, "second-components")
     rest = open_.join(first, ["a", "b"], "left_anti").join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").where("ca <> cb").select("a", "b")
-    found = verified(materialise(rest, "rest"), texts, words, num, den)
+    found = scratch.put(verified(scratch.put(rest, "rest"), texts, words, num, den), "last-links")
     # rows that share an id but not a set tie their classes together
     shared_ids = node.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("doc_id", "a")
     ties = node.join(shared_ids, "doc_id").select("a", F.col("node").alias("b"))
     comps = components(links.unionByName(found).unionByName(ties))
+    scratch.drop(*[name for name in scratch.paths if name != "classes"])
     out = slim.join(comps, slim["class_id"] == comps["node"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.when(F.col("n") > 0, F.coalesce("component", "class_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.coalesce("component", "class_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", component)
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component, all columns as they are.
 
-    Rows without an id stay if no row with an id is in their component.
+    Rows without an id stay if no row with an id is in their component; rows
+    that repeat an id and its text stay or go together.  Null and empty texts
+    stay.  An empty table stays empty.
     """
     of = jaccard_components(docs, words, num, den, id_col, text_col)
     gone = of.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
