@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE
@@ -23,7 +23,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts that collide stay apart.  Each map task first folds its own copies
     into one row, so a text that fills a third of the table reaches a reducer
     as one row a task.  The way back from groups to rows is a join on slim
-    columns, which adaptive execution can split at a hot key.
+    columns, which adaptive execution can split at a hot key; it goes by md5 and
+    sha256 together.
 
     Null text is empty text.  Rows with a null id belong to their text's group
     and count; they stay only if no row of it has an id (keep_id is then null,
@@ -41,12 +42,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all its columns; of rows repeating an id and its text, one."""
+    """The rows of ``docs`` that stay, with all its columns; of rows repeating an id and its text, one.
+
+    Whole rows are shuffled once, for the join with their group's smallest id;
+    what repeats an id and a text then lies side by side.  The join goes by
+    both hashes (md5 and sha256, 384 bits); bytes are compared in the groups
+    that choose the id.  Of rows without an id one a text stays if no row of
+    the text has an id.  An empty table stays empty.
+    """
     norm = normalised(docs[text_col])
-    keyed = docs.select(*[docs[c].alias(f"in_{i}") for i, c in enumerate(docs.columns)], docs[id_col].alias("row_id"), F.md5(norm).alias("hash"), F.sha2(norm, 256).alias("sha"))
+    keyed = docs.select(
+        *[docs[c].alias(f"in_{i}") for i, c in enumerate(docs.columns)],
+        F.md5(norm).alias("hash"), F.sha2(norm, 256).alias("sha"), docs[id_col].isNull().alias("no_id"), F.coalesce(docs[id_col], F.lit(0)).alias("row_id"),
+    )
     rows = docs.select(docs[id_col].alias("row_id"), norm.alias("norm"))
     winners = rows.groupBy(F.md5("norm").alias("hash"), "norm").agg(F.min("row_id").alias("keep"))
-    winners = winners.select(F.col("hash").alias("win_hash"), F.sha2("norm", 256).alias("win_sha"), "keep")
-    stays = keyed.join(winners, (F.col("hash") == F.col("win_hash")) & (F.col("sha") == F.col("win_sha")) & F.col("row_id").eqNullSafe(F.col("keep")), "left_semi")
-    stays = stays.dropDuplicates(["row_id", "hash", "sha"])
-    return stays.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    winners = winners.select("hash", F.sha2("norm", 256).alias("sha"), F.col("keep").isNull().alias("no_id"), F.coalesce("keep", F.lit(0)).alias("row_id"))
+    key = ["hash", "sha", "no_id", "row_id"]
+    stays = keyed.join(winners, key, "left_semi")
+    first = stays.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("row_id"))).where("place = 1")
+    return first.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])
