@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, materialise
 
 #: Points of the ring: positions are 0 to RING - 1.
 RING = 1 << 20
@@ -79,6 +79,10 @@ def place(counts: dict[int, int], on: Ring, shards: int) -> list[tuple[int, int,
     return out
 
 
+#: Positions of a cell: rows are ranked inside cells, many of which make an arc.
+_CELL_BITS = 6
+
+
 def shard_rows(docs: DataFrame, shards: int = 8, virtual_nodes: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of ``docs``.
 
@@ -89,13 +93,16 @@ def shard_rows(docs: DataFrame, shards: int = 8, virtual_nodes: int = 128, id_co
     Slots number a shard's rows from 0 without gaps, arc by arc, inside an arc
     by ring position, id, checksum and size.
 
-    Only slim rows move: the ring has ``shards * virtual_nodes`` arcs (a fixed
-    number; more nodes for more rows), rows are ranked inside their arc, and
-    one count an arc reaches the driver, where the overflow is settled.  Texts
-    are read once for sizes and checksums, never shuffled.
+    Only slim rows move.  An arc's rows are ranked in cells of the ring (16,384
+    of them, whatever the number of arcs), so no task sorts an arc; the cells'
+    counts, a bounded number, give each cell its first rank.  One count an arc
+    reaches the driver, where the overflow is settled.  Texts are read once for
+    sizes and checksums, never shuffled.
 
-    Null text: size 1 and checksum 0, as empty text.  Identical repeated rows
-    get one slot each.  `grown_shard` is null, as this law isn't `key`.
+    Null text: size 1 and checksum 0, as empty text; very long texts are only
+    measured.  Identical repeated rows get one slot each, ties any of their
+    slots.  Other columns are ignored, whatever their names; an empty table
+    gives an empty result.  `grown_shard` is null, as this law isn't `key`.
     """
     spark: SparkSession = docs.sparkSession
     on = ring(shards, virtual_nodes)
@@ -105,10 +112,17 @@ def shard_rows(docs: DataFrame, shards: int = 8, virtual_nodes: int = 128, id_co
     cuts = F.broadcast(spark.createDataFrame(position_blocks(on), "block int, cuts array<int>, first int"))
     placed = slim.withColumn("block", F.shiftright("position", 10)).join(cuts, "block")
     arc_of = F.pmod(F.col("first") + F.size(F.filter("cuts", lambda c: c <= F.col("position"))) - 1, F.lit(len(on.starts))).cast("int")
-    placed = placed.select("doc_id", "size", "text_crc32", "position", arc_of.alias("arc"))
-    counts = {r.arc: r.n for r in placed.groupBy("arc").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = place(counts, on, shards)
-    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("arc").orderBy("position", "doc_id", "text_crc32", "size")).cast("bigint") - 1)
+    # the arc over the ring's end goes on at its beginning: there its cells come last
+    wraps = F.when(F.col("position") < on.starts[0], F.col("position") + RING).otherwise(F.col("position"))
+    placed = placed.select("doc_id", "size", "text_crc32", wraps.alias("position"), arc_of.alias("arc"))
+    placed = placed.withColumn("cell", F.shiftright("position", _CELL_BITS))
+    cells = materialise(placed.groupBy("arc", "cell").agg(F.count(F.lit(1)).alias("n")), "cells")
+    plan = place({r.arc: r.n for r in cells.groupBy("arc").agg(F.sum("n").alias("n")).collect()}, on, shards)
+    before = F.sum("n").over(Window.partitionBy("arc").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    first_rank = F.broadcast(cells.select("arc", "cell", F.coalesce(before, F.lit(0)).alias("first_rank")))
+    inside = F.row_number().over(Window.partitionBy("arc", "cell").orderBy("position", "doc_id", "text_crc32", "size")).cast("bigint") - 1
+    ranked = placed.withColumn("inside", inside).join(first_rank, ["arc", "cell"]).withColumn("rank", F.col("first_rank") + F.col("inside"))
     plan_rows = F.broadcast(spark.createDataFrame(plan, "arc int, lo bigint, hi bigint, shard int, first_slot bigint"))
     out = ranked.join(plan_rows, (ranked["arc"] == plan_rows["arc"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("first_slot") + F.col("rank") - F.col("lo")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    slot = (F.col("first_slot") + F.col("rank") - F.col("lo")).alias("slot")
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot, F.lit(None).cast("int").alias("grown_shard"))
