@@ -78,21 +78,16 @@ OTHER = (
 
 UNKNOWN = "unknown"
 CLASSES = (UNKNOWN, *TEMPLATES)
+#: The class of a notice that is a licence's, but of none of the families.
+OTHER_LICENCE = len(CLASSES)
 _WORD = re.compile(r"[^\W_]+")
 _LINE = re.compile(r"[^\n]*[^\s][^\n]*")
-_SENTENCE = re.compile(r".+?(?:[.!?;:](?=\s)|$)", re.S)
-_LONG = 400
+_SENTENCE = re.compile(r"\S.*?(?:[.!?;:](?=\s)|$)", re.S)
 
 
 def paragraphs(text: str) -> list[tuple[int, int]]:
-    """Start and end of the paragraphs: lines that aren't blank, those of over 400 characters by sentence."""
-    out = []
-    for m in _LINE.finditer(text):
-        if m.end() - m.start() <= _LONG:
-            out.append(m.span())
-        else:
-            out += [(m.start() + s.start(), m.start() + s.end()) for s in _SENTENCE.finditer(m[0])]
-    return out
+    """Start and end of the sentences of each line that isn't blank: what is classified at a time, however long the line is."""
+    return [(line.start() + s.start(), line.start() + s.end()) for line in _LINE.finditer(text) for s in _SENTENCE.finditer(line[0])]
 
 
 def words_of(text: str) -> list[str]:
@@ -152,11 +147,16 @@ class LicenceModel:
         return _softmax(self.logits(units) / self.temperature)
 
     def families(self, units: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """The class of each unit and its probability; below the threshold: unknown."""
+        """The class of each unit and its probability.
+
+        A family from the threshold on; OTHER where that much speaks for some
+        licence but not for one of the families; else UNKNOWN.
+        """
         p = self.probabilities(units)
         best = p.argmax(axis=1)
-        best[p.max(axis=1) < self.threshold] = 0
-        return best, p[np.arange(len(p)), best]
+        sure, some = p.max(axis=1), 1 - p[:, 0]
+        found = np.where(sure >= self.threshold, best, np.where((best > 0) & (some >= self.threshold), OTHER_LICENCE, 0))
+        return found, np.where(found == OTHER_LICENCE, some, p[np.arange(len(p)), np.minimum(found, len(CLASSES) - 1)])
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -164,19 +164,26 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def examples(ordinary: list[str], variants: int = 60) -> tuple[list[list[str]], np.ndarray]:
-    """Word lists and classes: templates, their sentences, stretches and edited forms; ordinary paragraphs and look-alikes as unknown."""
-    draw, units, labels = random.Random(7), [], []
+def examples(ordinary: list[str], variants: int = 60) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+    """Word lists, classes, and which are held out: templates, their sentences, stretches and edited forms; ordinary paragraphs and look-alikes as unknown.
+
+    All that comes from a family's last template is held out, if it has
+    several, and every fifth unknown example: calibration never sees an edit of
+    a template that was trained on.
+    """
+    draw, units, labels, held = random.Random(7), [], [], []
     filler = sorted({w for t in ordinary[:200] for w in words_of(t)}) or ["holder"]
     every = sorted({w for ts in TEMPLATES.values() for t in ts for w in words_of(t)})
 
-    def add(words: list[str], family: str) -> None:
+    def add(words: list[str], family: str, out: bool | None = None) -> None:
         if words:
             units.append(words)
             labels.append(CLASSES.index(family))
+            held.append(len(units) % 5 == 4 if out is None else out)
 
     for family, templates in TEMPLATES.items():
         for t in templates:
+            out = len(templates) > 1 and t == templates[-1]
             parts = [words_of(t)] + [w for m in _SENTENCE.finditer(t) if len(w := words_of(m[0])) > 3]
             for _ in range(variants):
                 w = list(draw.choice(parts))
@@ -188,9 +195,9 @@ def examples(ordinary: list[str], variants: int = 60) -> tuple[list[list[str]],
                     w.insert(draw.randrange(len(w) + 1), draw.choice(filler))
                 if draw.random() < 0.2:
                     w = ["copyright", "c", str(draw.randint(1990, 2030)), draw.choice(filler), *w]
-                add(w, family)
+                add(w, family, out)
             for p in parts:
-                add(p, family)
+                add(p, family, out)
     for t in ordinary:
         add(words_of(t), UNKNOWN)
     for w in every:  # one or two words alone say nothing
@@ -201,11 +208,11 @@ def examples(ordinary: list[str], variants: int = 60) -> tuple[list[list[str]],
             add([x for x in words_of(t) if draw.random() > 0.05], UNKNOWN)
         for _ in range(12):  # licence words in no order, among ordinary ones
             add([draw.choice(every if draw.random() < 0.4 else filler) for _ in range(draw.randint(4, 30))], UNKNOWN)
-    return units, np.array(labels)
+    return units, np.array(labels), np.array(held)
 
 
 def fit(ordinary: list[str], rounds: int = 120, rate: float = 0.4, ridge: float = 1e-4) -> LicenceModel:
-    """Multinomial logistic regression on four fifths of the examples; temperature and threshold from the rest.
+    """Multinomial logistic regression on all examples; temperature and threshold from one without the held-out ones.
 
     ``ordinary`` are paragraphs without a licence.  The temperature makes the
     held-out probabilities fit best; the threshold is the least of 0.5 to 0.95
@@ -213,8 +220,21 @@ def fit(ordinary: list[str], rounds: int = 120, rate: float = 0.4, ridge: float
     family.
     """
     ordinary = [t for t in ordinary if all(similarity(words_of(t), f) < 0.3 for f in TEMPLATES)]
-    units, labels = examples(ordinary)
-    held = np.arange(len(units)) % 5 == 4
+    units, labels, held = examples(ordinary)
+    first = _trained(units, labels, ~held, rounds, rate, ridge)
+    z, own = first.logits([units[i] for i in np.flatnonzero(held)]), labels[held]
+    loss = {t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(own)), own], 1e-12)).mean() for t in np.geomspace(0.25, 4, 33)}
+    m = _trained(units, labels, np.ones(len(units), bool), rounds, rate, ridge)
+    m.temperature = float(min(loss, key=loss.get))
+    p = _softmax(z / m.temperature)[own == 0]
+    wrong = lambda t: ((p.argmax(axis=1) > 0) & (p.max(axis=1) >= t)).mean() if len(p) else 0.0
+    m.threshold = next((t for t in np.arange(0.5, 0.95, 0.05) if wrong(t) <= 0.001), 0.95)
+    return m
+
+
+def _trained(units: list[list[str]], labels: np.ndarray, used: np.ndarray, rounds: int, rate: float, ridge: float) -> LicenceModel:
+    """Weights by Adam on the ``used`` examples; the vocabulary is theirs too."""
+    units, labels = [u for u, k in zip(units, used) if k], labels[used]
     vocabulary: dict[str, int] = {}
     for u, y in zip(units, labels):
         if y:
@@ -224,30 +244,23 @@ def fit(ordinary: list[str], rounds: int = 120, rate: float = 0.4, ridge: float
     keys = sorted({a * len(vocabulary) + b for u in known for a, b in zip(u, u[1:])})
     k = len(CLASSES)
     m = LicenceModel(vocabulary, np.array(keys, np.int64), np.zeros((len(vocabulary) + len(keys), k)), np.zeros(k))
-    train = np.flatnonzero(~held)
-    unit, feature, total = m.features([units[i] for i in train])
-    y = np.eye(k)[labels[train]]
+    unit, feature, total = m.features(units)
+    y = np.eye(k)[labels]
     scale = (1 / np.sqrt(total))[unit][:, None]
     by_unit, by_feature = np.argsort(unit, kind="stable"), np.argsort(feature, kind="stable")
     u_rows, u_first = np.unique(unit[by_unit], return_index=True)
     f_rows, f_first = np.unique(feature[by_feature], return_index=True)
     moments = [np.zeros_like(m.weights), np.zeros_like(m.weights), np.zeros(k), np.zeros(k)]
     for step in range(1, rounds + 1):
-        z = np.zeros((len(train), k))
+        z = np.zeros((len(units), k))
         z[u_rows] = np.add.reduceat((m.weights[feature] * scale)[by_unit], u_first, axis=0)
-        g = (_softmax(z + m.bias) - y) / len(train)
+        g = (_softmax(z + m.bias) - y) / len(units)
         gw = ridge * m.weights
         gw[f_rows] += np.add.reduceat((g[unit] * scale)[by_feature], f_first, axis=0)
         for at, (w, d) in enumerate(((m.weights, gw), (m.bias, g.sum(axis=0)))):
             moments[2 * at] = 0.9 * moments[2 * at] + 0.1 * d
             moments[2 * at + 1] = 0.99 * moments[2 * at + 1] + 0.01 * d * d
             w -= rate * (moments[2 * at] / (1 - 0.9**step)) / (np.sqrt(moments[2 * at + 1] / (1 - 0.99**step)) + 1e-8)
-    z, own = m.logits([units[i] for i in np.flatnonzero(held)]), labels[held]
-    loss = {t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(own)), own], 1e-12)).mean() for t in np.geomspace(0.25, 4, 33)}
-    m.temperature = float(min(loss, key=loss.get))
-    p = _softmax(z / m.temperature)[own == 0]
-    wrong = lambda t: ((p.argmax(axis=1) > 0) & (p.max(axis=1) >= t)).mean() if len(p) else 0.0
-    m.threshold = next((t for t in np.arange(0.5, 0.95, 0.05) if wrong(t) <= 0.001), 0.95)
     return m
 
 
@@ -268,14 +281,17 @@ _SCHEMA = "doc_id bigint, start bigint, end bigint, family string, probability d
 def scan(docs: DataFrame, model: LicenceModel, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, end, family, probability, similarity, confirmed, passage: one row for each licence notice found.
 
-    Each paragraph of the whole text is classified; neighbours of one family
-    make one notice, whose probability is the largest.  `similarity` is the
-    share of the notice's word pairs that a template of the family has, and
-    `confirmed` whether it is ``least`` or more.  Unknown paragraphs give no
-    row.  `start` and `end` are characters of the text.
+    Each sentence of the whole text is classified; neighbours of one family
+    make one notice, whose probability is the largest.  A licence of none of
+    the families is a notice of family `unknown`.  `similarity` is the share of
+    the notice's word pairs that a template of the family has (of any family
+    for `unknown`), and `confirmed` whether it is ``least`` or more and the
+    family is known.  Other sentences give no row.  `start` and `end` are
+    characters of the text.
 
     Rows are scanned where they are read; nothing is shuffled.  Null, empty
-    and wordless texts give no row; repeated rows are scanned each and a null
+    and wordless texts give no row; very long texts are scanned whole, sentence
+    by sentence; repeated rows are scanned each and a null
     id stays null; other columns are ignored, an empty table gives an empty
     result.
     """
@@ -290,10 +306,12 @@ def scan(docs: DataFrame, model: LicenceModel, least: float = 0.6, id_col: str =
                 units = [words_of(text[lo:hi]) for lo, hi in spans]
                 family, p = model.families(units)
                 for first, end in _runs(family):
-                    name = CLASSES[family[first]]
+                    known = family[first] < OTHER_LICENCE
+                    name = CLASSES[family[first]] if known else UNKNOWN
                     lo, hi = spans[first][0], spans[end - 1][1]
-                    sim = similarity([w for u in units[first:end] for w in u], name)
-                    out.append((doc, lo, hi, name, float(p[first:end].max()), sim, sim >= least, text[lo:hi]))
+                    words = [w for u in units[first:end] for w in u]
+                    sim = similarity(words, name) if known else max(similarity(words, f) for f in TEMPLATES)
+                    out.append((doc, lo, hi, name, float(p[first:end].max()), sim, bool(known and sim >= least), text[lo:hi]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.string())
             names = [x.split()[0] for x in _SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
