@@ -10,7 +10,6 @@ piece's surroundings could matter.
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Iterator
 from itertools import repeat
@@ -19,15 +18,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import held
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space outside ASCII's own, as Python's str.isspace has it (fixed values).
 _ODD_SPACE = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _SPACES = b" \t\n\v\f\r"
 _IS_SPACE = np.isin(np.arange(256), list(_SPACES))
-_PIECE_CHARS = 4_000_000
+_PIECE_CHARS = 3_000_000
 _BATCH_BYTES = 4_000_000
-_encoders: dict[str, "PieceEncoder"] = {}
 
 
 def public_path(name: str) -> str:
@@ -39,9 +39,7 @@ def public_path(name: str) -> str:
 
 def encoder(name: str) -> "PieceEncoder":
     """This process's encoder of a vocabulary: a file's path, or the name of a public one."""
-    if name not in _encoders:
-        _encoders[name] = PieceEncoder(name if os.path.sep in name else public_path(name))
-    return _encoders[name]
+    return held(("encoder", name), lambda: PieceEncoder(name if os.path.sep in name else public_path(name)))
 
 
 def text_slices(part: pa.RecordBatch, text_at: int = 1) -> Iterator[pa.RecordBatch]:
@@ -72,9 +70,8 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.largest_id = max(vocabulary.values(), default=0)
-        settings = json.loads(self.tokenizer.to_str())
-        self.as_is = not settings["normalizer"]
-        suffix = settings["model"].get("end_of_word_suffix") or ""
+        self.as_is = self.tokenizer.normalizer is None
+        suffix = self.tokenizer.model.end_of_word_suffix or ""
         self.bytes_of = np.zeros(self.largest_id + 1, np.int64)  # in byte-level vocabularies each letter is a byte
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token.removesuffix(suffix))

@@ -16,7 +16,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, id_text
+from .common import batches, held, id_text
 
 #: A line that ends both dictionaries and begins every window, and the mark that ends every window: fixed block costs
 #: cancel, and the compressor still looks for matches at the window's end.
@@ -30,7 +30,7 @@ FOLDS = 4
 #: Toxic texts that a run of words stands in, at least.
 _LEAST = 4
 _EDGE = string.punctuation.encode()
-_CACHE_CHARS = 8_000_000
+_CACHE_CHARS = 2_000_000
 #: Chance under which a whole word or run marks toxic texts.
 _CHANCE = 1e-5
 
@@ -200,15 +200,9 @@ class Distances:
         return got >> 1, got & 1
 
 
-_distances: dict[Dictionaries, Distances] = {}
-
-
 def distances(of: Dictionaries) -> Distances:
     """This process's `Distances` of the last dictionaries asked for."""
-    if of not in _distances:
-        _distances.clear()
-        _distances[of] = Distances(of)
-    return _distances[of]
+    return held(of, lambda: Distances(of))
 
 
 def features(gains: np.ndarray, wholes: np.ndarray) -> list[float]:
