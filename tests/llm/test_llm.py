@@ -1,12 +1,15 @@
 """The training-data operators against brute force, SQL, round trips and held-out labels."""
 
 import hashlib
+import io
 import re
 import struct
 import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from pricelake.llm import chat, decontamination, dedup, jaccard, lengths, licences, packing, queries, records, sharding, toxicity
@@ -86,6 +89,22 @@ def test_jaccard_equals_brute_force(spark, sf_dir, k, num):
     assert got == brute_components(docs, k, num, 100)
 
 
+def test_jaccard_tiles_equal_brute_force(spark, sf_dir, monkeypatch):
+    """Blocks much larger than a tile, passes that don't divide the keys evenly, null and repeated ids."""
+    monkeypatch.setattr(jaccard, "TILE", 2)
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(160)]
+    docs = []
+    for d in range(70):
+        ws = list(base)
+        for i in rng.integers(0, len(ws), rng.integers(1, 6)):
+            ws[i] = f"z{rng.integers(1000)}"
+        docs.append((d, " ".join(ws)))
+    df = spark.createDataFrame(docs + [(None, docs[3][1]), docs[5], (None, "")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, passes=3).collect() if r.doc_id is not None}
+    assert got == brute_components(docs, 4, 85, 100)
+
+
 def test_jaccard_edges(spark):
     got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(edge_docs(spark)).collect()}
     assert got[1] == got[2] == 1 and got[3] == 3 and got[4] == 4 and got[5] == 5 and got[6] == got[7] == 6
@@ -174,30 +193,112 @@ def direct_ids(file, texts):
 
 
 @pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_piece_encoder_equals_library(file):
-    texts = ["", " ", "Hello  world\n\n x", "<|endoftext|> a<|endoftext|>", "çüé ß x", "it's 12,5\t\r\n end ", "日本語 text", "a" * 300]
-    assert [x.tolist() for x in encoder(file).encode(texts)] == direct_ids(file, texts)
-
-
-def test_packing(spark):
+def test_piece_encoder_equals_library(file, sf_dir):
+    texts = ["", " ", "Hello  world\n\n x", "<|endoftext|> a<|endoftext|>", "çüé ß x", "it's 12,5\t\r\n end ", "日本語 text", "a" * 300]
+    texts += ["a\u3000\nb c", "\u00a0x", "x\u00a0", " İX iĞ ğ", " A\u030a b", "a\x1c b", " 's 't", "  \t", "q"]
+    texts += [r["text"] for r in pq.read_table(f"{sf_dir}/documents.parquet").slice(0, 50).to_pylist()]
+    want = direct_ids(file, texts)
+    flat, bounds = encoder(file).encode(pa.array(texts), 3)
+    assert [flat[lo:hi].tolist() for lo, hi in zip(bounds, bounds[1:])] == [[*w, 3] for w in want]
+    assert encoder(file).counts(pa.array(texts)).tolist() == [len(w) for w in want]
+    assert encoder(file).encode(pa.array(texts[:9])[2:5])[1][-1] == sum(map(len, want[2:5]))
+    assert encoder(file).encode(pa.array([], pa.string()), 3)[0].tolist() == []
+
+
+def brute_packing(rows, seq_len=2048):
+    """(doc_id, start, length, ids_crc32, doc_tokens) of every piece, from the library's ids."""
+    out = []
+    for (doc, text), got in zip(rows, direct_ids("word_bpe_49k.json", [t or "" for _, t in rows])):
+        ids, start = [*got, 1], 0
+        for k in packing.binary_lengths(len(ids), seq_len):
+            out.append((doc, start, k, zlib.crc32(struct.pack(f"<{k}I", *ids[start : start + k])), len(ids)))
+            start += k
+        assert start == len(ids)
+    return sorted(out, key=repr)
+
+
+def test_packing_query_equals_brute_force(spark, sf_dir):
+    rows = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()]
+    got = queries.op5_power_of_two_packing(spark, sf_dir).collect()
+    assert sorted(((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got), key=repr) == brute_packing(rows)
+    assert len({r.sequence_id for r in got}) == len(got) and all(r.offset == 0 and r.length & (r.length - 1) == 0 for r in got)
+
+
+def test_packing_edges(spark):
+    """Nulls, empty texts, repeated rows, a long text, clashing columns; an empty table."""
     df = edge_docs(spark)
-    by = {}
-    for r in packing.pack(df).collect():
-        assert r.length & (r.length - 1) == 0 and len(r.ids) == 4 * r.length and r.offset == 0
-        by.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.ids))
-    want = direct_ids("word_bpe_49k.json", [r.text or "" for r in df.where("doc_id = 7").collect()])[0] + [1]
-    assert list(struct.unpack(f"<{len(want)}I", b"".join(x for _, x in sorted(by[(7, len(want))])))) == want
+    got = [(r.doc_id, r.start, r.length, zlib.crc32(r.ids), r.doc_tokens) for r in packing.pack(df).collect()]
+    assert sorted(got, key=repr) == brute_packing([(r.doc_id, r.text) for r in df.collect()])
     assert packing.pack(empty_docs(spark)).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(df, seq_len=1000)
+
+
+def test_packing_batches_hold_equal_lengths(spark, sf_dir):
+    pieces = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    batches = packing.bucket_batches(pieces, batch_tokens=4096).collect()
+    assert all(len(b.ids) == 4 * (b.sequences << b.bucket) and len(b.ids) <= 4 * 4096 for b in batches)
+    cut = [(b.bucket, b.ids[i : i + (4 << b.bucket)]) for b in batches for i in range(0, len(b.ids), 4 << b.bucket)]
+    assert sorted(cut) == sorted((r.bucket, bytes(r.ids)) for r in pieces.collect())
+    assert packing.bucket_batches(packing.pack(empty_docs(spark))).count() == 0
+
+
+def brute_ring(rows, shards, virtual_nodes=128):
+    """(shard, slot) of each row: own arcs first in ring order, then overflow clockwise; row by row."""
+    on = sharding.ring(shards, virtual_nodes)
+    arcs = {}
+    for doc, crc, size, position in rows:
+        arc = max((i for i, p in enumerate(on.starts) if p <= position), default=len(on.starts) - 1)
+        arcs.setdefault(arc, []).append((position + (sharding.RING if position < on.starts[0] else 0), doc, crc, size))
+    room = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    filled, out, over = [0] * shards, {}, []
+
+    def put(row, shard):
+        out[row] = (shard, filled[shard])
+        filled[shard] += 1
+
+    for arc in range(len(on.starts)):
+        for row in sorted(arcs.get(arc, [])):
+            if filled[on.owners[arc]] < room[on.owners[arc]]:
+                put(row[1:], on.owners[arc])
+            else:
+                over.append((arc, row[1:]))
+    for arc, row in over:
+        step = 1
+        while filled[on.owners[(arc + step) % len(on.owners)]] >= room[on.owners[(arc + step) % len(on.owners)]]:
+            step += 1
+        put(row, on.owners[(arc + step) % len(on.owners)])
+    return out
+
+
+def test_sharding_equals_brute_force(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    where = docs.select("doc_id", F.crc32("text").alias("crc"), F.octet_length("text").alias("n")).withColumn("position", F.pmod(F.xxhash64("doc_id", "crc"), F.lit(sharding.RING)))
+    rows = [(r.doc_id, r.crc, r.n + 1, r.position) for r in where.collect()]
+    for shards in (8, 3):
+        got = {(r.doc_id, r.text_crc32, r["size"]): (r.shard, r.slot) for r in sharding.shard_rows(docs, shards).collect()}
+        assert got == brute_ring(rows, shards)
+
+
+def test_sharding_moves_little(spark):
+    """A ninth shard: rows that change their shard are fewer than half of what dealing anew moves (eight ninths)."""
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    before, after = ({r.doc_id: r.shard for r in sharding.shard_rows(docs, n).collect()} for n in (8, 9))
+    moved = sum(before[d] != after[d] for d in before) / len(before)
+    assert moved < 0.45
 
 
-def test_sharding(spark, sf_dir):
-    rows = queries.op6_bounded_ring_sharding(spark, sf_dir).collect()
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    assert sorted(r.doc_id for r in rows) == sorted(docs)
-    assert all(r.size == len(docs[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(docs[r.doc_id].encode()) for r in rows)
-    slots = {s: sorted(r.slot for r in rows if r.shard == s) for s in range(8)}
-    assert all(v == list(range(len(v))) for v in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
-    assert sharding.shard_rows(edge_docs(spark)).count() == 10 and sharding.shard_rows(empty_docs(spark)).count() == 0
+def test_sharding_edges(spark, sf_dir):
+    """Nulls, empty texts, repeated rows, clashing columns: every row has a slot of its own; an empty table."""
+    rows = sharding.shard_rows(edge_docs(spark), 3).collect()
+    assert len(rows) == 10 and len({(r.shard, r.slot) for r in rows}) == 10 and {r.law for r in rows} == {"rows"}
+    assert [r["size"] for r in rows if r.text_crc32 == 0].count(1) == 3
+    assert sharding.shard_rows(empty_docs(spark)).count() == 0
+    docs = {r["doc_id"]: r["text"] for r in pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()}
+    query = queries.op6_bounded_ring_sharding(spark, sf_dir).collect()
+    assert all(r["size"] == len(docs[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(docs[r.doc_id].encode()) for r in query) and len(query) == len(docs)
 
 
 def test_records_round_trip(spark, tmp_path):
@@ -212,14 +313,67 @@ def test_records_round_trip(spark, tmp_path):
     assert records.read_records(records.write_records(empty_docs(spark), f"file://{tmp_path}/e")).count() == 0
 
 
+def test_records_shuffled_reads(spark, tmp_path):
+    """Another seed is another order; every record comes once in each."""
+    manifest = records.write_records(edge_docs(spark), f"file://{tmp_path}/s", partitions=3)
+    want = sorted((r.doc_id is not None, r.doc_id or 0, r.ids_crc32) for r in records.read_records(manifest).collect())
+    orders = []
+    for seed in (1, 2):
+        got = records.read_shuffled(manifest, seed).orderBy("epoch_order").collect()
+        orders.append([(r.doc_id is not None, r.doc_id or 0, zlib.crc32(r.ids)) for r in got])
+        assert sorted(orders[-1]) == want and all(len(r.ids) == 4 * r.n_tokens for r in got)
+    assert orders[0] != orders[1]
+    empty = records.write_records(empty_docs(spark), f"file://{tmp_path}/t")
+    assert records.read_shuffled(empty, 1).count() == 0
+
+
+def test_records_tell_damage(tmp_path):
+    """Any changed byte, and a cut file, raise."""
+    raw = b"".join(records.frame(records.payload_of(i, np.array([i, 9], "<u4").tobytes(), 2)) for i in range(3))
+
+    def read(data):
+        f = io.BytesIO(data)
+        while (p := records.read_record(f)) is not None:
+            records.unpack(p)
+
+    read(raw)
+    for at in range(len(raw)):
+        with pytest.raises(ValueError):
+            read(raw[:at] + bytes([raw[at] ^ 1]) + raw[at + 1 :])
+    for end in range(1, len(raw)):
+        if end % (len(raw) // 3):
+            with pytest.raises(ValueError):
+                read(raw[:end])
+    assert records.unpack(records.read_record(io.BytesIO(raw), len(raw) // 3))[0] == 1
+
+
 def test_length_histogram(spark):
     df = edge_docs(spark)
     n = [len(x) for x in direct_ids("byte_bpe_50k.json", [r.text or "" for r in df.collect()])]
-    for r in lengths.length_histogram(lengths.token_lengths(df)).collect():
+    hist = lengths.length_histogram(lengths.token_lengths(df))
+    rows = hist.collect()
+    assert sorted(r.n_tokens for r in rows) == sorted(set(n))
+    for r in rows:
         assert r.documents == n.count(r.n_tokens) and r.documents_at_least == sum(x >= r.n_tokens for x in n)
         assert r.tokens_at_least == sum(x for x in n if x >= r.n_tokens) and r.truncated_tokens == sum(min(x, r.n_tokens) for x in n)
-    for r in lengths.token_totals(lengths.token_lengths(df), [2, 2048]).collect():
-        assert r.truncated_tokens == sum(min(x, r.context_limit) for x in n) and r.documents_cut == sum(x > r.context_limit for x in n)
+        assert r.quantile == sum(x <= r.n_tokens for x in n) / len(n)
+    limits = [0, 2, 3, 2048, max(n), 10**9]
+    totals = {r.context_limit: (r.documents_cut, r.truncated_tokens) for r in lengths.token_totals(hist, limits).collect()}
+    assert totals == {k: (sum(x > k for x in n), sum(min(x, k) for x in n)) for k in limits}
+    got = {r.share: r.n_tokens for r in lengths.length_quantile(hist, [0.25, 0.5, 1.0]).collect()}
+    assert got == {q: next(x for x in sorted(n) if sum(y <= x for y in n) >= q * len(n)) for q in got}
+
+
+def test_length_histogram_query_equals_brute_force(spark, sf_dir):
+    n = [len(x) for x in direct_ids("byte_bpe_50k.json", [r["text"] for r in pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()])]
+    got = {r.n_tokens: (r.documents, r.documents_at_least, r.truncated_tokens) for r in queries.op8_token_length_histogram(spark, sf_dir).collect()}
+    assert got == {k: (n.count(k), sum(x >= k for x in n), sum(min(x, k) for x in n)) for k in set(n)}
+
+
+def test_length_histogram_of_an_empty_table(spark):
+    hist = lengths.length_histogram(lengths.token_lengths(empty_docs(spark)))
+    assert hist.count() == 0
+    assert [(r.documents_cut, r.truncated_tokens) for r in lengths.token_totals(hist, [5]).collect()] == [(0, 0)]
 
 
 def test_toxicity_held_out(spark):
@@ -232,10 +386,36 @@ def test_toxicity_held_out(spark):
     assert sum(r.predicted for r in rows if truth[r.doc_id]) > 0.55 * sum(truth[r.doc_id] for r in rows)
 
 
+def test_toxicity_query_equals_plain_scoring(spark, sf_dir):
+    """Each document by itself, each window compressed anew, nothing kept."""
+    model = queries.toxicity_model(spark, sf_dir)
+    got = {r.doc_id: r for r in queries.op9_compression_toxicity(spark, sf_dir).collect()}
+    d = model.dictionaries
+    wholes, size = set(d.wholes), len(d.toxic)
+    for r in pq.read_table(f"{sf_dir}/documents.parquet").slice(0, 40).to_pylist():
+        words = toxicity.windows(r["text"])
+        seen = words + [b" ".join(words[i : i + n]) for n in (2, 3) for i in range(len(words) - n + 1) if b" ".join(words[i : i + n]) in wholes]
+        gains = []
+        for w in seen:
+            raw = toxicity.CARRIER + b" " + w + b" " + toxicity.TAIL
+            gains.append(len(toxicity._compressor(d.ordinary, size).compress(raw)) - len(toxicity._compressor(d.toxic, size).compress(raw)))
+        top = sorted([0, 0, 0, *gains], reverse=True)[:3]
+        x = [1, top[0], sum(top) / 3, np.log1p(sum(g >= 3 for g in gains)), np.log1p(sum(w in wholes for w in seen))]
+        score = 1 / (1 + np.exp(-np.clip(np.dot(x, model.weights), -30, 30)))
+        assert abs(got[r["doc_id"]].score - score) < 1e-9 and got[r["doc_id"]].predicted == (score >= 0.3)
+        assert got[r["doc_id"]].held_out == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
 def test_toxicity_edges(spark):
+    """Null and empty texts score alike, repeated rows too; clashing columns; a very long text; empty tables."""
     m = toxicity.fit([("you idiot fool", 1), ("a calm day", 0)] * 8)
-    assert toxicity.score(edge_docs(spark), m).count() == 10
+    rows = toxicity.score(edge_docs(spark), m).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append(r.score)
+    assert len(rows) == 10 and by[3] == by[4] == by[5] and len(set(by[2])) == 1 and all(0 <= s <= 1 for v in by.values() for s in v)
     assert toxicity.reject_toxic(edge_docs(spark), m).columns == edge_docs(spark).columns
+    assert toxicity.reject_toxic(empty_docs(spark), m).count() == 0
     assert toxicity.score(empty_docs(spark), toxicity.fit([])).count() == 0
 
 
@@ -286,6 +466,43 @@ def test_licences(spark, sf_dir):
     assert got == {(1, "MIT", "Released under the MIT License."): True, (2, "CC-BY-NC", "Licensed under CC BY-NC 4.0."): True, (None, "Apache-2.0", "Licensed under the Apache License, Version 2.0."): True}
 
 
+def test_licence_edges(spark):
+    """A licence of no known family, a long line, a long text, repeated rows, null ids; an empty table."""
+    m = licences.fit([f"ordinary words number {i} about weather and food" for i in range(300)])
+    notice = "Released under the MIT License."
+    filler = "The weather was calm and the food was good. " * 40
+    rows = [(1, filler + notice + " " + filler), (2, notice), (2, notice), (None, notice), (3, "\n".join(["plain words about food"] * 20_000) + "\n" + notice)]
+    rows += [(4, "Licensed under the Foobar Community License, Version 7.")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int")
+    got = [(r.doc_id, r.family, r.confirmed, r.passage) for r in licences.scan(df, m).collect()]
+    for doc in (1, 2, None, 3):
+        assert [g for g in got if g[0] == doc] == [(doc, "MIT", True, notice)] * (2 if doc == 2 else 1)
+    assert all(not confirmed for doc, _, confirmed, _ in got if doc == 4)
+    assert licences.scan(df.limit(0), m).count() == 0
+
+
+def test_licence_query_equals_plain_scan(spark, sf_dir):
+    """Sentence by sentence, each classified alone."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    m = licences.fit(licences.ordinary_sample(docs))
+    want = []
+    for r in pq.read_table(f"{sf_dir}/documents.parquet").to_pylist():
+        open_ = None
+        for lo, hi in licences.paragraphs(r["text"]):
+            (k,), (p,) = m.families([licences.words_of(r["text"][lo:hi])])
+            if open_ and open_[0] == k:
+                open_[2], open_[3] = hi, max(open_[3], p)
+            else:
+                if open_ and open_[0]:
+                    want.append((r["doc_id"], open_))
+                open_ = [k, lo, hi, p]
+        if open_ and open_[0]:
+            want.append((r["doc_id"], open_))
+    name = lambda k: licences.CLASSES[k] if k < licences.OTHER_LICENCE else licences.UNKNOWN
+    got = sorted((r.doc_id, r.start, r.end, r.family, round(r.probability, 6)) for r in queries.op10_license_scan(spark, sf_dir).collect())
+    assert got == sorted((d, lo, hi, name(k), round(float(p), 6)) for d, (k, lo, hi, p) in want)
+
+
 def test_licence_scan_finds_every_notice(spark):
     sf = "/root/testdata/sf0.01"
     want = {(r.doc_id, m) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for m in re.findall(r"[^\n]*\b[Ll]icense[^\n]*", r.text)}
@@ -293,6 +510,57 @@ def test_licence_scan_finds_every_notice(spark):
     assert {(d, p.strip()) for d, p in want} == {(d, p.strip()) for d, p in got}
 
 
+def test_pipeline_stages_edges(spark, sf_dir):
+    """Nulls, repeats, clashing columns and an empty table go through every stage that keeps documents."""
+    import corpus_pipeline
+
+    docs = edge_docs(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and 0 < out.count() <= 10
+        assert stage(spark, empty_docs(spark), sf_dir).count() == 0
+    kept = {r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, sf_dir).collect()}
+    assert kept == {1, 3, 5, 6, 7}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()} >= {3, 4, 5, 6}
+
+
+def test_pipeline_keeps_what_brute_force_keeps(spark, sf_dir):
+    """The rows that survive exact dedup, the Jaccard join and decontamination, by plain loops after the toxicity stage."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    clean = corpus_pipeline.drop_toxic(spark, docs, sf_dir)
+    rows = {r.doc_id: r.text for r in clean.collect()}
+    first = {}
+    for d in sorted(rows):
+        first.setdefault(re.sub(r"[ \t-\r]+", " ", rows[d]), d)
+    rows = {d: rows[d] for d in first.values()}
+    comp = brute_components(sorted(rows.items()), 5, 80, 100)
+    rows = {d: t for d, t in rows.items() if comp[d][1] == d}
+    items = [decontamination.words_of(r["text"]) for r in pq.read_table(f"{sf_dir}/benchmark.parquet").to_pylist()]
+    grams = [{tuple(i[k : k + 3]) for k in range(len(i) - 2)} for i in items]
+
+    def holds(text):
+        words = decontamination.words_of(text)
+        own = {tuple(words[k : k + 3]) for k in range(len(words) - 2)}
+        return any(g & own and decontamination.align(*map(np.array, _numbers(words, i)))[0] >= len(i) for g, i in zip(grams, items))
+
+    want = {d for d, t in rows.items() if not holds(t)}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().collect()} == want
+
+
+def _numbers(a, b):
+    index = {w: k for k, w in enumerate({*a, *b})}
+    return [index[w] for w in a], [index[w] for w in b]
+
+
+def test_chat_long_text_and_clashing_columns(spark):
+    long = "<|im_start|>" * 20_000
+    df = spark.createDataFrame([(1, 0, "user", "q", "x"), (1, 1, "assistant", long, "y")], "conv_id long, turn long, role string, text string, context string")
+    r = chat.read_back(chat.expand_prefix_targets(df)).first()
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, len(long), hashlib.sha256(long.encode()).hexdigest())
+
+
 def test_pipeline_keeps_and_drops(spark, sf_dir):
     import corpus_pipeline
 
@@ -311,7 +579,7 @@ def test_record_widths():
     assert records.id_width(50_257, 0) == records.id_width(65_536, 0) == 2
     assert records.id_width(65_537, 0) == records.id_width(100, 65_536) == 4
     for width in (2, 4):
-        doc, back = records.unpack(records.payload_of(5, ids, 1, width))
-        assert doc == 5 and back.dtype == np.dtype("<u4") and back.tolist() == [0, 65_535, 7, 1]
-    doc, back = records.unpack(records.payload_of(None, np.array([70_000], np.uint32), 0))
+        doc, back = records.unpack(records.payload_of(5, ids.astype(f"<u{width}").tobytes(), 3, width))
+        assert doc == 5 and back.dtype == np.dtype("<u4") and back.tolist() == [0, 65_535, 7]
+    doc, back = records.unpack(records.payload_of(None, np.array([70_000, 0], "<u4").tobytes(), 2))
     assert doc is None and back.tolist() == [70_000, 0]
