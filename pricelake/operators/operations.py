@@ -216,9 +216,10 @@ def sanitized(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def read_log(spark, path: str) -> DataFrame:
     """A JSON-lines log: timestamp, level, source, event_type, message; malformed lines are left out."""
-    schema = "timestamp string, level string, source string, event_type string, message string, _bad string"
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where("_bad is null").drop("_bad").withColumn("timestamp", F.col("timestamp").try_cast("timestamp_ntz"))
+    schema = "timestamp string, level string, source string, event_type string, message string"
+    lines = spark.read.text(path).where(F.try_parse_json("value").isNotNull())
+    rows = lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+    return rows.withColumn("timestamp", F.col("timestamp").try_cast("timestamp_ntz"))
 
 
 def write_lines(rows: DataFrame, path: str) -> None:
