@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, dedup, jaccard, lengths, licences, packing, records, sharding, toxicity
+from . import chat, decontamination, dedup, infill, jaccard, lengths, licences, packing, quality, records, sharding, toxicity, trie
 from .common import shared_dir, table
 
 #: The contract's extra conversation (fixed value), whose texts hold the template's control strings.
@@ -80,6 +80,31 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(docs, licences.fit(licences.ordinary_sample(docs)))
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.QualityModel:
+    """A model of the labelled rows outside the fold that is held out for quality."""
+    learnt = table(spark, sf_dir, "labels").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
+    return quality.fit(*quality.training_sample(table(spark, sf_dir, "documents"), learnt))
+
+
+def op11_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, by a model of the labelled rows outside the held-out fold; all cases as in `quality.score`."""
+    scored = quality.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    return scored.select("doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's cuts, and digests of its output and of the text read back from that; all cases as in `infill.fill_in_middle`."""
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = infill.restored(F.col("form"), F.col("output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations; all cases as in `trie.prefix_trie`."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -93,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_length_histogram,
         op9_compression_toxicity,
         op10_license_scan,
+        op11_rule_quality,
+        op12_fill_in_middle,
+        op13_prefix_trie,
     )
 }
 
@@ -117,4 +145,43 @@ SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(chars) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op12_fill_in_middle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                   regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens FROM documents),
+        h AS (
+            SELECT doc_id, text, tokens, len(tokens) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(tokens) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(tokens) + 1) AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 50 THEN 'plain'
+                        WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        c AS (
+            SELECT *, coalesce(array_to_string(tokens[:least(a, b)], ''), '') AS p, coalesce(array_to_string(tokens[least(a, b) + 1:greatest(a, b)], ''), '') AS m,
+                   coalesce(array_to_string(tokens[greatest(a, b) + 1:], ''), '') AS s FROM h)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM c""",
+    "op13_prefix_trie": r"""
+        WITH t AS (
+            SELECT conv_id AS c, turn, dense_rank() OVER (ORDER BY coalesce(role, ''), coalesce(text, '')) AS x, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+        lists AS (SELECT c, list(x ORDER BY turn NULLS FIRST, role, text) AS xs FROM t GROUP BY c),
+        h AS (
+            SELECT *, (4294967295 - list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda k: CAST(ascii(k) AS BIGINT))),
+                lambda r, b: list_reduce(list_prepend(xor(r, b), range(8)), lambda y, i: xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 4 AS h FROM lists),
+        rebuilt AS (SELECT h.c, list_concat(coalesce(b.xs, [])[:h.h], h.xs[h.h + 1:]) AS xs FROM h LEFT JOIN lists b ON b.c = h.c - h.c % 20),
+        words AS (SELECT DISTINCT x, words FROM t),
+        prefixes AS (SELECT c, d, xs[:d] AS path, len(xs) = d AS ends FROM rebuilt, LATERAL (SELECT unnest(range(len(xs) + 1)) AS d)),
+        nodes AS (
+            SELECT path, d, min(c) AS conv_id, count(*) AS n_convs,
+                   sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM prefixes GROUP BY path, d),
+        kids AS (SELECT path[:d - 1] AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+        held AS (
+            SELECT n.path, n.d, coalesce(k.n_children, 0) AS n_children, (n.n_convs - 1) * coalesce(w.words, 0) AS saved
+            FROM nodes n LEFT JOIN kids k ON k.path = n.path LEFT JOIN words w ON w.x = n.path[n.d]),
+        sums AS (
+            SELECT path[:i] AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+            FROM held, LATERAL (SELECT unnest(range(d + 1)) AS i) GROUP BY 1)
+        SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(h.n_children AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+               CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM nodes n JOIN held h ON h.path = n.path JOIN sums s ON s.path = n.path LEFT JOIN nodes p ON n.d > 0 AND p.path = n.path[:n.d - 1]""",
 }
