@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelake.functions import text as T
@@ -126,31 +126,42 @@ def smart_rank(candidates: DataFrame, query: str) -> DataFrame:
     (text), relevance.  Category, prices, memory, disk, graphics and network
     are demands; the brand and the refresh rate only move the score.
     """
-    p = parse_query(F.lit(query))
-    rows = candidates.withColumn("asked", p)
-    asked = lambda f: F.col(f"asked.{f}")
-    name, brand, category = T.normalize_query(F.col("name")), T.normalize_query(F.col("brand")), T.normalize_query(F.col("category"))
-    hay = F.concat_ws(" ", name, brand, category, T.normalize_query(F.col("attributes")))
+    asked = parsed_once(candidates.sparkSession, query)
+    folded = {f"_{c}": T.normalize_query(F.col(c)) for c in ("name", "brand", "category", "attributes")}
+    rows = candidates.withColumns(folded)
+    name, brand, category = F.col("_name"), F.col("_brand"), F.col("_category")
+    hay = F.concat_ws(" ", *folded)
     compact = F.regexp_replace(hay, "[^a-z0-9]", "")
-    holds = lambda what: F.coalesce(hay.contains(T.normalize_query(what)) | compact.contains(F.regexp_replace(T.normalize_query(what), "[^a-z0-9]", "")), F.lit(False))
+    holds = lambda f: F.coalesce(hay.contains(asked[f]) | compact.contains("".join(ch for ch in asked[f] if ch.isascii() and ch.isalnum())), F.lit(False))
     demands = {
-        "category": category.contains(asked("category")) | name.contains(asked("category")), "price_min": F.col("price") >= asked("price_min"), "price_max": F.col("price") <= asked("price_max"),
-        "ram_gb": F.col("ram_gb") == asked("ram_gb"), "storage_gb": F.col("storage_gb") == asked("storage_gb"), "gpu": holds(asked("gpu")), "network": holds(asked("network")),
+        "category": lambda v: category.contains(v) | name.contains(v), "price_min": lambda v: F.col("price") >= v, "price_max": lambda v: F.col("price") <= v, "ram_gb": lambda v: F.col("ram_gb") == v,
+        "storage_gb": lambda v: F.col("storage_gb") == v, "gpu": lambda v: holds("gpu_text"), "network": lambda v: holds("network"),
     }
     won = {"category": 28, "ram_gb": 24, "storage_gb": 24, "gpu": 32, "network": 20}
-    ok = F.lit(True)
-    score = F.col("relevance").cast("double")
+    ok, score = F.lit(True), F.col("relevance").cast("double")
     for field, met in demands.items():
-        ok = ok & (asked(field).isNull() | F.coalesce(met, F.lit(False)))
-        score = score + F.when(asked(field).isNotNull(), won.get(field, 0)).otherwise(0)
-    of_brand = brand.contains(asked("brand")) | name.contains(asked("brand"))
-    score = score + F.when(asked("brand").isNull(), 0).when(of_brand, 22).otherwise(-12)
-    score = score + F.when(asked("refresh_hz").isNull(), 0).when(holds(F.concat(asked("refresh_hz").cast("string"), F.lit("hz"))), 16).otherwise(-6)
-    gaming = hay.rlike("rtx|gtx|rx|gaming|oyuncu")
-    score = score + F.when((asked("purpose") == "gaming") & gaming, 14).when((asked("purpose") == "student") & asked("category").isin("laptop", "tablet"), 8).otherwise(0)
-    score = score + F.when(asked("purpose") == "best_value", F.least(F.lit(12), F.col("offers") * 3)).otherwise(0)
+        if asked[field] is not None:
+            ok = ok & F.coalesce(met(asked[field]), F.lit(False))
+            score = score + won.get(field, 0)
+    if asked["brand"] is not None:
+        score = score + F.when(brand.contains(asked["brand"]) | name.contains(asked["brand"]), 22).otherwise(-12)
+    if asked["refresh_hz"] is not None:
+        score = score + F.when(holds("refresh_text"), 16).otherwise(-6)
+    if asked["purpose"] == "gaming":
+        score = score + F.when(hay.rlike("rtx|gtx|rx|gaming|oyuncu"), 14).otherwise(0)
+    elif asked["purpose"] == "student" and asked["category"] in ("laptop", "tablet"):
+        score = score + 8
+    elif asked["purpose"] == "best_value":
+        score = score + F.least(F.lit(12), F.col("offers") * 3)
     whole = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.rint(score))).cast("int")
-    return rows.where(ok).withColumns({"score": score, "semantic_score": whole}).drop("asked")
+    return rows.where(ok).withColumns({"score": score, "semantic_score": whole}).drop(*folded)
+
+
+def parsed_once(spark: SparkSession, query: str) -> dict:
+    """`parse_query` of one text as a plain dict, from one row, with the folded text of what is looked for in words."""
+    p = F.col("p")
+    row = spark.range(1).select(parse_query(F.lit(query)).alias("p")).select("p.*", T.normalize_query(p["gpu"]).alias("gpu_text"), F.concat(p["refresh_hz"].cast("string"), F.lit("hz")).alias("refresh_text"))
+    return row.first().asDict()
 
 
 def like_all(words: list[str], columns: list[str]) -> Column:

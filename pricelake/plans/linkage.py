@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from pricelake.functions import identity as I
 from pricelake.functions import text as T
+from pricelake.operators import groups as G
 from pricelake.operators import linkage as L
 from pricelake.sources.listings import SQL_LISTINGS, listings
+from pricelake.sources.staged import staged
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +46,9 @@ def variant_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("place", F.row_number().over(order))
 
 
-def _folded(spark: SparkSession, sf_dir: str, copy: int) -> DataFrame:
+def _folded(parsed: DataFrame, copy: int) -> DataFrame:
     """The distinct identities of one copy of the listings."""
-    rows = _parsed(spark, sf_dir).where(F.col("copy") == copy)
+    rows = parsed.where(F.col("copy") == copy)
     return rows.groupBy("p").agg(F.min("listing_id").alias("id"), F.max("title").alias("title"), F.min("price").alias("price"), F.min("category").alias("category"))
 
 
@@ -58,40 +60,28 @@ def category_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "product_id").select("product_id", m.alias("m")).select("product_id", "m.matcher", "m.score")
 
 
-def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _incoming(parsed: DataFrame) -> DataFrame:
     """Identities of copy 1; a third with another disk, a third with a longer family, so that every decision occurs."""
     third = F.col("id") % 3
-    rows = _folded(spark, sf_dir, 1)
+    rows = _folded(parsed, 1)
     p = F.col("p").withField("storage_gb", F.when(third == 1, 1024).otherwise(F.col("p.storage_gb")))
     p = p.withField("family", F.when(third == 2, F.concat(F.col("p.family"), F.lit(" x9"))).otherwise(F.col("p.family")))
     p = p.withField("model_code", F.when(third == 2, "").otherwise(F.col("p.model_code")))
-    return rows.select(F.col("id").alias("incoming_key"), p.alias("p")).withColumn("identity_key", I.key_of(F.col("p")))
+    return rows.select(F.col("id").alias("incoming_key"), p.alias("p"), "category").withColumn("identity_key", I.key_of(F.col("p")))
 
 
 def link_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is done with each distinct incoming identity."""
-    catalog = _folded(spark, sf_dir, 0).select(F.col("id").alias("candidate_id"), F.col("p").alias("q"), I.key_of(F.col("p")).alias("identity_key"))
-    return L.decide(_incoming(spark, sf_dir), catalog)
+    rows = staged(_parsed(spark, sf_dir), "parsed")
+    catalog = _folded(rows, 0).select(F.col("id").alias("candidate_id"), F.col("p").alias("q"), I.key_of(F.col("p")).alias("identity_key"))
+    return L.decide(_incoming(rows), catalog)
 
 
 def group_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best group of each distinct incoming identity, its score, the second one's, and the confidence.
-
-    Candidates share the brand and the first word of the family, and at most
-    250 of the newest are taken, as the catalog's rule has it.
-    """
-    block = lambda p: F.concat_ws("|", p["brand"], F.substring_index(p["family"], " ", 1))
-    inn = _incoming(spark, sf_dir).select("incoming_key", "p", block(F.col("p")).alias("block"))
-    newest = Window.partitionBy("block").orderBy(F.desc("candidate_id"))
-    cand = _folded(spark, sf_dir, 0).select(F.col("id").alias("candidate_id"), F.col("p").alias("q"), block(F.col("p")).alias("block"))
-    cand = cand.withColumn("n", F.row_number().over(newest)).where("n <= 250")
-    families = inn.select("block", F.col("p.family").alias("fa")).distinct().join(cand.select("block", F.col("q.family").alias("fb")).distinct(), "block")
-    ratios = families.select("fa", "fb").distinct().withColumn("ratio", L.seq_ratio("fa", "fb"))
-    pairs = inn.join(cand, "block").join(ratios, (F.col("p.family") == F.col("fa")) & (F.col("q.family") == F.col("fb")))
-    scored = pairs.withColumn("score", L.group_score(F.col("p"), F.col("q"), F.col("ratio"), F.lit(""), F.lit(""))).where("score > 0")
-    order = Window.partitionBy("incoming_key").orderBy(F.desc("score"), "candidate_id")
-    top = scored.withColumns({"place": F.row_number().over(order), "second": F.lead("score").over(order)}).where("place = 1")
-    return top.select("incoming_key", "candidate_id", "score", F.coalesce("second", F.lit(0.0)).alias("second_score"), L.match_confidence(F.col("score"), F.col("second")).alias("confidence"))
+    """The best group of each distinct incoming identity among all groups of its brand and category, its score, the second one's, and the confidence."""
+    rows = staged(_parsed(spark, sf_dir), "parsed")
+    groups = _folded(rows, 0).select(F.col("id").alias("candidate_id"), F.col("p").alias("q"), "category")
+    return G.best_groups(_incoming(rows), groups)
 
 
 def seller_and_store_names(spark: SparkSession, sf_dir: str) -> DataFrame:

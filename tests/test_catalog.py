@@ -1,6 +1,7 @@
 """Catalog queries against their SQL; functions and operators against golden values and brute force."""
 
 import json
+import math
 from difflib import SequenceMatcher
 
 import pytest
@@ -153,8 +154,9 @@ def test_link_decisions_equal_brute_force(spark, sf_dir):
     from pricelake.plans import linkage as L
 
     got = {r.incoming_key: (r.action, r.confidence, r.candidate_id) for r in L.link_decisions(spark, sf_dir).collect()}
-    inn = [(r.incoming_key, r.p.asDict(), r.identity_key) for r in L._incoming(spark, sf_dir).collect()]
-    cat = [(r.id, r.p.asDict(), r.k) for r in L._folded(spark, sf_dir, 0).withColumn("k", I.key_of(F.col("p"))).collect()]
+    rows = L._parsed(spark, sf_dir)
+    inn = [(r.incoming_key, r.p.asDict(), r.identity_key) for r in L._incoming(rows).collect()]
+    cat = [(r.id, r.p.asDict(), r.k) for r in L._folded(rows, 0).withColumn("k", I.key_of(F.col("p"))).collect()]
 
     def score(p, q):
         total, hard = 0.0, False
@@ -194,12 +196,84 @@ def test_link_decisions_equal_brute_force(spark, sf_dir):
     assert {a for a, _, _ in got.values()} >= {"AUTO_MATCH", "REVIEW"}
 
 
-def test_group_matches_take_the_best(spark, sf_dir):
+def brute_best_groups(incoming, groups):
+    """Each listing against every group, by the rules in plain Python."""
+
+    def percent(a, b):
+        x, y = set(a.split()), set(b.split())
+        words = 100 * len(x & y) / len(x | y) if x and y else 0.0
+        return (SequenceMatcher(None, a, b).ratio() * 100 if a and b else 0.0) * 0.65 + words * 0.35
+
+    def score(p, q, named):
+        if p["variant"] != q["variant"] or any(p[f] is not None and q[f] is not None and p[f] != q[f] for f in ("ram_gb", "storage_gb")):
+            return 0
+        if any(p[f] and q[f] and p[f] != q[f] for f in ("network", "model_code")):
+            return 0
+        if p["family"] and q["family"] and not set(p["family"].split()) & set(q["family"].split()):
+            return 0
+        if p["product_code"] and p["product_code"] == q["product_code"]:
+            return 100
+        family = percent(p["family"], q["family"])
+        if q["family"] and family < 70:
+            return 0
+        total = 23 + 5 * named + family * 0.47 + 9 + 14 * bool(p["model_code"] and q["model_code"])
+        for f, won in (("ram_gb", 7), ("storage_gb", 8)):
+            total += won if p[f] == q[f] and p[f] is not None else won / 4
+        if p["screen_inch"] is not None and q["screen_inch"] is not None:
+            far = abs(p["screen_inch"] - q["screen_inch"])
+            total += 4 if far <= 0.2 else -8 if far >= 1 else 0
+        total += 2 * bool(p["network"] and q["network"])
+        return max(0.0, min(100.0, math.floor(total * 100 + 0.5) / 100))
+
+    out = {}
+    for key, p, category in incoming:
+        ranked = []
+        if p["brand"] and p["family"]:
+            named = bool(category and category.strip(" -"))
+            fits = [g for g in groups if g[1]["brand"] == p["brand"] and (not named or g[2] == category)]
+            ranked = sorted((-s, i) for i, q, _ in fits if (s := score(p, q, named)) > 0)
+        best, second = (-ranked[0][0] if ranked else 0, -ranked[1][0] if len(ranked) > 1 else 0)
+        sure = "none" if best < 88 else "ambiguous" if best - second < 5 else "high" if best >= 95 else "medium"
+        out[key] = (ranked[0][1] if ranked else None, round(best, 2), round(second, 2), sure)
+    return out
+
+
+def test_group_matches_equal_all_groups(spark, sf_dir):
     from pricelake.plans import linkage as L
 
-    rows = L.group_matches(spark, sf_dir).collect()
-    assert rows and all(r.score >= r.second_score and 0 < r.score <= 100 for r in rows)
-    assert all((r.confidence == "none") == (r.score < 88) for r in rows)
+    rows = L._parsed(spark, sf_dir)
+    inn = [(r.incoming_key, r.p.asDict(), r.category) for r in L._incoming(rows).collect()]
+    cat = [(r.id, r.p.asDict(), r.category) for r in L._folded(rows, 0).collect()]
+    got = {r.incoming_key: (r.candidate_id, round(r.score, 2), round(r.second_score, 2), r.confidence) for r in L.group_matches(spark, sf_dir).collect()}
+    assert got == brute_best_groups(inn, cat)
+
+
+def test_groups_of_all_shapes_equal_brute_force(spark, monkeypatch):
+    """Word order, missing families, codes, categories, equal groups and long posting lists."""
+    import random
+
+    from pricelake.operators import groups as G
+
+    monkeypatch.setattr(G, "LIST", 3)
+    rng = random.Random(8)
+    pick = lambda *v: rng.choice(v)
+
+    def some():
+        words = rng.sample(["galaxy", "s21", "s22", "note", "tab", "a"], rng.randint(0, 3))
+        return {"brand": pick("samsung", "samsung", "lg", ""), "family": " ".join(words), "variant": pick("", "", "pro"), "ram_gb": pick(None, 8), "storage_gb": pick(None, 128, 256), "screen_inch": pick(None, 6.1, 6.2, 7.5),
+                "color": pick("", "mavi"), "network": pick("", "5g"), "model_code": pick("", "", "sm1", "sm2"), "product_code": pick("", "", "", "p1"), "kind": "phone"}
+
+    schema = "brand string, family string, variant string, ram_gb int, storage_gb int, screen_inch double, color string, network string, model_code string, product_code string, kind string"
+    cats = ("Tablet", "Telefon", None, " - ")
+    inn = [(i, some(), pick(*cats)) for i in range(150)]
+    cat = [(i, some(), pick(*cats)) for i in range(150)]
+    inn.append((999, {**inn[0][1], "brand": "samsung", "family": "s21 galaxy", "model_code": "", "product_code": ""}, None))
+    a = spark.createDataFrame(inn, f"incoming_key long, p struct<{schema}>, category string")
+    b = spark.createDataFrame(cat, f"candidate_id long, q struct<{schema}>, category string")
+    got = {r.incoming_key: (r.candidate_id, round(r.score, 2), round(r.second_score, 2), r.confidence) for r in G.best_groups(a, b).collect()}
+    assert got == brute_best_groups(inn, cat)
+    assert {r[3] for r in got.values()} >= {"none", "ambiguous"} and any(r[1] == 100 for r in got.values())
+    assert G.best_groups(a, b.limit(0)).where("score > 0").count() == 0
 
 
 def profile(**fields):
