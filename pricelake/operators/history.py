@@ -87,6 +87,21 @@ def changes(history: DataFrame) -> DataFrame:
     return rows.where(F.col("previous_total").isNull() | (F.col("total") != F.col("previous_total"))).select("product_id", "store_id", "order_id", "line", "seen_at", "previous_total", "total")
 
 
+def offer_changes(history: DataFrame) -> DataFrame:
+    """Append on change of price, shipping, total (in cents) or availability: the rows that an offer's history keeps.
+
+    Rows without a price are left out before they are compared; null shipping
+    is 0 and null availability empty.  Reads the columns that
+    `streaming.catalog.history_stream` reads; both keep the same rows.
+    """
+    cents = lambda c: F.floor(F.col(c) * 100 + 0.5).cast("bigint")
+    rows = history.where("price > 0").withColumns({"shipping": F.coalesce("shipping", F.lit(0.0)), "availability": F.coalesce("availability", F.lit(""))})
+    rows = rows.withColumn("_now", F.struct(*[cents(c).alias(c) for c in ("price", "shipping", "total")], "availability"))
+    before = F.lag("_now").over(Window.partitionBy("product_id", "store_id").orderBy("seen_at", "order_id", "line"))
+    kept = rows.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") != F.col("_now")))
+    return kept.select("product_id", "store_id", "order_id", "line", "seen_at", "price", "shipping", "total", "availability")
+
+
 def fake_discount(history: DataFrame) -> DataFrame:
     """Products with three points or more, prices that spread a tenth or more, and a last price no better than the mean."""
     history, at = history.withColumn("at", recency()), "at"
