@@ -229,7 +229,7 @@ def brute_best_groups(incoming, groups):
     for key, p, category in incoming:
         ranked = []
         if p["brand"] and p["family"]:
-            named = bool(category and category.strip(" -"))
+            named = bool(category and category.strip())
             fits = [g for g in groups if g[1]["brand"] == p["brand"] and (not named or g[2] == category)]
             ranked = sorted((-s, i) for i, q, _ in fits if (s := score(p, q, named)) > 0)
         best, second = (-ranked[0][0] if ranked else 0, -ranked[1][0] if len(ranked) > 1 else 0)
@@ -264,7 +264,7 @@ def test_groups_of_all_shapes_equal_brute_force(spark, monkeypatch):
                 "color": pick("", "mavi"), "network": pick("", "5g"), "model_code": pick("", "", "sm1", "sm2"), "product_code": pick("", "", "", "p1"), "kind": "phone"}
 
     schema = "brand string, family string, variant string, ram_gb int, storage_gb int, screen_inch double, color string, network string, model_code string, product_code string, kind string"
-    cats = ("Tablet", "Telefon", None, " - ")
+    cats = ("Tablet", "Telefon", None, "  ")
     inn = [(i, some(), pick(*cats)) for i in range(150)]
     cat = [(i, some(), pick(*cats)) for i in range(150)]
     inn.append((999, {**inn[0][1], "brand": "samsung", "family": "s21 galaxy", "model_code": "", "product_code": ""}, None))
