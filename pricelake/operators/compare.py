@@ -141,13 +141,18 @@ def recommendations(profiles: DataFrame, most: int = 160, per_bucket: int = 4) -
     """product_id, bucket, place, candidate_id, score: each product's best candidates by bucket.
 
     ``profiles`` has the columns of `similarity` and offers, deal, confidence,
-    updated_at.  A product meets the ``most`` newest of its family, never the
-    whole family, so pairs grow with the products alone.
+    updated_at.  A product is compared with the ``most`` newest of all, itself
+    left out, as far as they are of its category family; these are the rule's
+    own bound and small enough to be sent to every task.
     """
     profiles = profiled(profiles)
-    current = profiles.select("family", F.struct(*profiles.columns).alias("a"))
-    cand = newest_of_family(profiles, most).select("family", F.struct(*profiles.columns).alias("b"))
-    pairs = current.join(cand, "family").where(F.col("a.product_id") != F.col("b.product_id")).withColumn("s", similarity(F.col("a"), F.col("b"))).where("s.compatible")
+    newest = profiles.orderBy(F.desc("updated_at"), F.desc("product_id")).limit(most + 1)
+    newest = newest.withColumn("n", F.row_number().over(Window.orderBy(F.desc("updated_at"), F.desc("product_id"))))  # most + 1 rows
+    own = newest.select("product_id", F.col("n").alias("own"))
+    current = profiles.join(F.broadcast(own), "product_id", "left").select("family", F.struct(*profiles.columns).alias("a"), F.when(F.col("own") <= most, most + 1).otherwise(most).alias("upto"))
+    cand = newest.select("family", F.struct(*profiles.columns).alias("b"), "n")
+    pairs = current.join(F.broadcast(cand), "family").where((F.col("n") <= F.col("upto")) & (F.col("a.product_id") != F.col("b.product_id")))
+    pairs = pairs.withColumn("s", similarity(F.col("a"), F.col("b"))).where("s.compatible")
     difference = (F.col("b.price") - F.col("a.price")) / F.col("a.price") * 100
     score = S.recommendation_score(F.col("s.score"), F.col("b.deal"), difference, F.col("b.offers"), F.col("b.confidence"))
     rows = pairs.select(F.col("a.product_id").alias("product_id"), F.col("b.product_id").alias("candidate_id"), score.alias("score"), F.col("s.score").alias("similarity"), difference.alias("difference"), F.col("b.deal").alias("deal"), F.col("b.confidence").alias("confidence"))
@@ -161,13 +166,14 @@ def alternatives(cards: DataFrame, most: int = 30, top: int = 4) -> DataFrame:
     """product_id, place, candidate_id, cheapest, best_deal, closest: the alternatives of each product in its category.
 
     ``cards``: product_id, category, price, deal, confidence, offers,
-    updated_at.  The ``most`` newest of the category stand for choice.  First
-    the cheapest, the best deal and the closest price, then the best deals.
+    updated_at.  The ``most`` newest of the category, the product itself left
+    out, stand for choice.  First the cheapest, the best deal and the closest price, then the best deals.
     """
     newest = Window.partitionBy("category").orderBy(F.desc("updated_at"), F.desc("product_id"))
-    cand = cards.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= most + 1).drop("_n")
-    cand = cand.select("category", *[F.col(c).alias(f"c_{c}") for c in ("product_id", "price", "deal", "confidence", "offers")])
-    pairs = cards.select("product_id", "category", "price").join(cand, "category").where("product_id <> c_product_id")
+    ranked = cards.withColumn("n", F.row_number().over(newest))
+    cand = ranked.where(F.col("n") <= most + 1).select("category", *[F.col(c).alias(f"c_{c}") for c in ("product_id", "price", "deal", "confidence", "offers", "n")])
+    upto = F.when(F.col("n") <= most, most + 1).otherwise(most)
+    pairs = ranked.select("product_id", "category", "price", upto.alias("upto")).join(cand, "category").where("product_id <> c_product_id and c_n <= upto")
     pairs = pairs.withColumn("distance", F.abs(F.col("c_price") - F.col("price")) / F.col("price") * 100)
     whole = Window.partitionBy("product_id")
     first = lambda *by: F.row_number().over(whole.orderBy(*by, "c_product_id")) == 1

@@ -304,16 +304,14 @@ def test_recommendations_equal_brute_force(spark, sf_dir):
 
     p = {r.product_id: r for r in C._profiles(spark, sf_dir).collect()}
     prof = compare.profiled(C._profiles(spark, sf_dir))
-    newest = {}
-    for r in p.values():
-        newest.setdefault(r.family, []).append((r.updated_at, r.product_id))
-    newest = {f: {i for _, i in sorted(v, reverse=True)[:160]} for f, v in newest.items()}
+    newest = [i for _, i in sorted(((r.updated_at, r.product_id) for r in p.values()), reverse=True)]
+    meets = lambda i, j: j in [k for k in newest if k != i][:160]
     a, b = prof.select("family", F.struct(*prof.columns).alias("a")), prof.select("family", F.struct(*prof.columns).alias("b"))
     pairs = a.join(b, "family").where("a.product_id <> b.product_id").select(F.col("a.product_id").alias("i"), F.col("b.product_id").alias("j"), compare.similarity(F.col("a"), F.col("b")).alias("s")).collect()
     rows = {}
     for r in pairs:
         x, y = p[r.i], p[r.j]
-        if r.j not in newest[x.family] or not r.s.compatible:
+        if not meets(r.i, r.j) or not r.s.compatible:
             continue
         d = (y.price - x.price) / x.price * 100
         price = min(100.0, 70 + abs(d) * 1.5) if d <= 0 else max(0.0, 70 - d * 2)
@@ -331,15 +329,15 @@ def test_recommendations_equal_brute_force(spark, sf_dir):
     assert got.keys() == want.keys() and sum(got[k] != want[k] for k in want) <= len(want) // 500  # a score on a rounding edge may differ
 
 
-def test_alternatives_equal_brute_force(spark):
+@pytest.mark.parametrize("most", [30, 9])
+def test_alternatives_equal_brute_force(spark, most):
     rows = [(i, "c" if i % 4 else "d", 100.0 + (i * 37) % 50, (i * 13) % 90, i % 100, i % 7, i) for i in range(1, 41)]
     df = spark.createDataFrame(rows, "product_id long, category string, price double, deal int, confidence int, offers long, updated_at long")
     got = {}
-    for r in compare.alternatives(df, most=30).collect():
+    for r in compare.alternatives(df, most=most).collect():
         got.setdefault(r.product_id, []).append((r.place, r.candidate_id))
     for i, c, price, *_ in rows:
-        pool = sorted((r for r in rows if r[1] == c), key=lambda r: (-r[6], -r[0]))[:31]
-        pool = [r for r in pool if r[0] != i]
+        pool = sorted((r for r in rows if r[1] == c and r[0] != i), key=lambda r: (-r[6], -r[0]))[:most]
         far = lambda r: abs(r[2] - price) / price * 100
         lead = [min(pool, key=lambda r: (r[2], r[0])), min(pool, key=lambda r: (-r[3], -r[4], r[0])), min(pool, key=lambda r: (far(r), r[0]))]
         order = list(dict.fromkeys([r[0] for r in lead] + [r[0] for r in sorted(pool, key=lambda r: (-r[3], far(r), -r[5], r[0]))]))
