@@ -23,6 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,39 +149,47 @@ def bound(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(folded(a, dims), folded(b, dims)).sum())
 
 
-class RTree:
-    """A packed R-tree of count vectors, for queries by an upper bound of the overlap."""
-
-    def __init__(self, points: list[np.ndarray], dims: int, num: int, den: int) -> None:
-        self.num, self.den, self.dims = num, den, dims
-        matrix = np.stack([folded(p, dims) for p in points])
-        coarse = matrix.reshape(len(matrix), 4, -1).sum(axis=2)
-        self.order = np.lexsort((*coarse.T, matrix.sum(axis=1)))
-        levels = [(matrix[self.order], matrix.sum(axis=1)[self.order])]
-        while len(levels[-1][1]) > _LEAF:
-            boxes, least = levels[-1]
-            cuts = np.arange(0, len(least), _LEAF)
-            levels.append((np.maximum.reduceat(boxes, cuts), np.minimum.reduceat(least, cuts)))
-        self.levels = levels[::-1]
-
-    def query(self, points: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of (number of one of ``points``, index of a point of the tree) that may link.
-
-        A point or box is first held against the query over 16 groups, and if
-        that doesn't exclude it over all.
-        """
-        q = np.stack([folded(p, self.dims) for p in points])
-        q16, sizes = q.reshape(len(q), 16, -1).sum(axis=2), q.sum(axis=1)
-        asks, at = (x.ravel() for x in np.meshgrid(np.arange(len(q)), np.arange(len(self.levels[0][1])), indexing="ij"))
-        for depth, (boxes, least) in enumerate(self.levels):
-            if depth:
-                asks, at = np.repeat(asks, _LEAF), (at[:, None] * _LEAF + np.arange(_LEAF)).ravel()
-                real = at < len(least)
-                asks, at = asks[real], at[real]
+class Forest:
+    """Packed R-trees of count vectors, one a tile, with the nodes of all of them in common arrays by level.
+
+    Points are count vectors over 16 groups.  A node has its points' largest
+    count in each group and the smallest of their sizes.  A tile's points lie
+    in order of size and of coarser counts; every _LEAF of them make a node,
+    and so on up to one root a tile.
+    """
+
+    def __init__(self, tile: np.ndarray, counts: np.ndarray, num: int, den: int) -> None:
+        self.num, self.den, self.visited = num, den, 0
+        sizes = counts.sum(axis=1)
+        self.order = np.lexsort((*counts.reshape(len(counts), 4, -1).sum(axis=2).T, sizes, tile))
+        boxes, least, of = counts[self.order], sizes[self.order], tile[self.order]
+        self.levels = [(boxes, least, None, None)]
+        while True:
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            place = np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))
+            cuts = np.flatnonzero(place % _LEAF == 0)
+            boxes, least, of = np.maximum.reduceat(boxes, cuts), np.minimum.reduceat(least, cuts), of[cuts]
+            self.levels.append((boxes, least, cuts, np.append(cuts[1:], len(place))))
+            if len(cuts) == len(first):
+                break
+        self.tiles = of
+
+    def query(self, tile: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of (number of a query, number of a point of its tile) that may link, from the roots down."""
+        root = np.searchsorted(self.tiles, tile)
+        asks = np.flatnonzero(self.tiles[np.minimum(root, len(self.tiles) - 1)] == tile)
+        at, sizes = root[asks], counts.sum(axis=1)
+        for boxes, least, cuts, ends in reversed(self.levels):
+            self.visited += len(at)
             need = needed(sizes[asks], least[at], self.num, self.den)
-            for queries, own in ((q16, boxes.reshape(len(boxes), 16, -1).sum(axis=2)), (q, boxes)):
-                may = _minima(queries, own, asks, at) >= need
-                asks, at, need = asks[may], at[may], need[may]
+            may = need <= sizes[asks]
+            asks, at, need = asks[may], at[may], need[may]
+            may = _minima(counts, boxes, asks, at) >= need
+            asks, at = asks[may], at[may]
+            if cuts is not None:
+                n = ends[at] - cuts[at]
+                below = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                asks, at = np.repeat(asks, n), np.repeat(cuts[at], n) + below
         return asks, self.order[at]
 
 
@@ -268,21 +277,29 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int,
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-#: Tiles of at most so many pairs are held against each other directly: an R-tree of one leaf has nothing to leave out.
-_FEW = 1024
+#: Rows that ask their tiles' trees at once.
+_ASK = 512
 #: Rows of tiles that are searched together.
 _TOGETHER = 16_384
 
 
-def tile_search(members: DataFrame, num: int, den: int) -> DataFrame:
+def tile_search(members: DataFrame, num: int, den: int, reach: dict[str, Accumulator] | None = None) -> DataFrame:
     """Pairs (a, b) that may link, of ``members``: key, tile, asks (the row's side), node, component, point.
 
     Rows of a tile come sorted, the searched side first; its R-tree is built
     once and asked by all rows of the other side.  Tiles of one side ask
-    themselves.  Tiles are taken many at a time, as most are small.  Pairs in
-    one component are left out.
+    themselves.  Trees are built and asked many at a time, as most are small.
+    Pairs in one component are left out.  ``reach`` (nodes, tried, kept)
+    counts visited nodes and points, pairs of the tiles, and pairs kept.
     """
 
+    def searched(rows: pa.Table) -> pa.RecordBatch:
+        out, counts = _search(rows, num, den)
+        for name, n in counts.items():
+            if reach:
+                reach[name].add(n)
+        return out
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         for batch in parts:
@@ -290,11 +307,11 @@ def tile_search(members: DataFrame, num: int, den: int) -> DataFrame:
             starts = _tile_starts(rows)
             cut = int(starts[-1]) if len(starts) else 0  # the last tile may go on
             if rows.num_rows >= _TOGETHER and cut:
-                yield _search(rows.slice(0, cut), num, den)
+                yield searched(rows.slice(0, cut))
                 rows = rows.slice(cut)
             rest = rows
         if rest is not None and rest.num_rows:
-            yield _search(rest, num, den)
+            yield searched(rest)
 
     return members.repartition("key", "tile").sortWithinPartitions("key", "tile", "asks").mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -309,54 +326,41 @@ def _tile_starts(rows: pa.Table) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]))
 
 
-def _search(rows: pa.Table, num: int, den: int) -> pa.RecordBatch:
-    """`tile_search` of whole tiles."""
+def _search(rows: pa.Table, num: int, den: int) -> tuple[pa.RecordBatch, dict[str, int]]:
+    """`tile_search` of whole tiles, with what it counts."""
     starts = _tile_starts(rows)
-    ends = np.append(starts[1:], rows.num_rows)
+    tile = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.num_rows)))
     asks = rows.column(2).to_numpy().astype(bool)
     node, comp = rows.column(3).to_numpy(), rows.column(4).to_numpy()
     points = [unpacked(x) for x in rows.column(5).to_pylist()]
-    asking = np.add.reduceat(asks.astype(np.int64), starts)
-    held = ends - starts - asking
-    few = np.where(asking > 0, held * asking, held * (held - 1) // 2) <= _FEW
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    shapes = held * (rows.num_rows + 1) + asking
-    for shape in np.unique(shapes[few]):
-        at = starts[few & (shapes == shape)]
-        h, k = divmod(int(shape), rows.num_rows + 1)
-        i, j = (x.ravel() for x in np.meshgrid(np.arange(h, h + k), np.arange(h), indexing="ij")) if k else np.triu_indices(h, 1)
-        left.append((at[:, None] + i).ravel())
-        right.append((at[:, None] + j).ravel())
-    one, two = _may_link(np.concatenate(left), np.concatenate(right), points, comp, num, den)
-    left, right = [one], [two]
-    for t in np.flatnonzero(~few):
-        lo, middle, hi = int(starts[t]), int(starts[t] + held[t]), int(ends[t])
-        dims = min(len(p) for p in points[lo:hi])
-        tree = RTree(points[lo:middle], dims, num, den)
-        first = middle if asking[t] else lo
-        i, j = tree.query(points[first:hi] if asking[t] else points[lo:middle])
-        i, j = i + first, j + lo
-        apart = comp[i] != comp[j]
-        left.append(i[apart])
-        right.append(j[apart])
+    counts = np.stack([folded(p, 16) for p in points])
+    alone = np.add.reduceat(asks.astype(np.int64), starts)[tile] == 0
+    held, asking = np.flatnonzero(~asks), np.flatnonzero(asks | alone)
+    left, right, visited = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    if len(held):
+        forest = Forest(tile[held], counts[held], num, den)
+        for at in range(0, len(asking), _ASK):
+            mine = asking[at : at + _ASK]
+            i, j = forest.query(tile[mine], counts[mine])
+            i, j = mine[i], held[j]
+            open_ = (comp[i] != comp[j]) & (~alone[i] | (i < j))
+            i, j = _finer(i[open_], j[open_], points, num, den)
+            left.append(i)
+            right.append(j)
+        visited = forest.visited
+    own = np.bincount(tile[held], minlength=len(starts))
+    other = np.bincount(tile[asks], minlength=len(starts))
     one, two = node[np.concatenate(left)], node[np.concatenate(right)]
     found = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in (0, 1)], names=["a", "b"])
+    tried = int(np.where(other > 0, own * other, own * (own - 1) // 2).sum())
+    return pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in (0, 1)], names=["a", "b"]), {"nodes": visited, "tried": tried, "kept": len(found)}
 
 
-def _may_link(i: np.ndarray, j: np.ndarray, points: list[np.ndarray], comp: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Those of the pairs that lie in different components and that neither their sizes nor their count vectors exclude."""
-    sizes = np.fromiter((int(p.sum()) for p in points), np.int64, len(points))
-    keep = comp[i] != comp[j]
-    i, j = i[keep], j[keep]
-    need = needed(sizes[i], sizes[j], num, den)
-    keep = need <= np.minimum(sizes[i], sizes[j])
-    i, j, need = i[keep], j[keep], need[keep]
+def _finer(i: np.ndarray, j: np.ndarray, points: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs that their count vectors over all groups of the coarser one don't exclude either."""
     of = np.fromiter(map(len, points), np.int64, len(points))
-    dims = np.minimum(of[i], of[j])
-    coarse = np.stack([folded(p, 16) for p in points]) if len(points) else np.zeros((0, 16), np.int64)
-    keep = _minima(coarse, coarse, i, j) >= need
-    i, j, need, dims = i[keep], j[keep], need[keep], dims[keep]
+    sizes = np.fromiter((int(p.sum()) for p in points), np.int64, len(points))
+    need, dims = needed(sizes[i], sizes[j], num, den), np.minimum(of[i], of[j])
     ok = np.ones(len(i), bool)
     for d in np.unique(dims[dims > 16]):
         own = np.flatnonzero(dims == d)
@@ -438,6 +442,7 @@ def jaccard_components(
     id_col: str = "doc_id",
     text_col: str = "text",
     passes: int = 4,
+    reach: dict[str, Accumulator] | None = None,
 ) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id for each row of ``docs``; sets link when den * overlap >= num * union.
 
@@ -455,6 +460,7 @@ def jaccard_components(
        R-tree (in tiles where a block is large); what it can't exclude is
        verified, one survivor for each node and component first, then those
        that still lie between components, and the components are completed.
+    ``reach`` counts what the trees are asked, see `tile_search`.
 
     So no link between different components is lost, and members of a group
     of copies are not paired with each other.
@@ -504,7 +510,7 @@ def jaccard_components(
     mixed = mixed.where("lo < hi").groupBy("c", "x1", "x2").agg(F.min("key").alias("key")).select("key")
     every = scratch.put(every.join(mixed, "key"), "mixed")
     tiles = _tiles(every).join(points, "node").select("key", "tile", "asks", "node", "component", "point")
-    open_ = scratch.put(tile_search(tiles, num, den), "survivors")
+    open_ = scratch.put(tile_search(tiles, num, den, reach), "survivors")
     # of a node's survivors one in each other component is verified first; that leaves few for the rest
     known = open_.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b")
     first = scratch.put(known.groupBy("a", "cb").agg(F.min("b").alias("b")).select("a", "b"), "first")

@@ -101,8 +101,29 @@ def test_jaccard_tiles_equal_brute_force(spark, sf_dir, monkeypatch):
             ws[i] = f"z{rng.integers(1000)}"
         docs.append((d, " ".join(ws)))
     df = spark.createDataFrame(docs + [(None, docs[3][1]), docs[5], (None, "")], "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, passes=3).collect() if r.doc_id is not None}
+    reach = {name: spark.sparkContext.accumulator(0) for name in ("nodes", "tried", "kept")}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, passes=3, reach=reach).collect() if r.doc_id is not None}
     assert got == brute_components(docs, 4, 85, 100)
+    assert reach["nodes"].value > 0 and 0 < reach["kept"].value < reach["tried"].value  # the trees are asked, and leave pairs out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_forest_equals_all_pairs(seed):
+    """Every pair that the bound allows at 16 groups is found, in its own tile alone, and no other."""
+    rng = np.random.default_rng(seed)
+    tile = np.sort(rng.integers(0, 9, 400))
+    counts = rng.poisson(rng.choice([1, 4, 9], 400)[:, None], (400, 16)).astype(np.int64)
+    counts[200:] = np.maximum(0, counts[:200] + rng.integers(-1, 2, (200, 16)))
+    asks = rng.choice(400, 150, replace=False)
+    forest = jaccard.Forest(tile, counts, 85, 100)
+    i, j = forest.query(tile[asks], counts[asks])
+    size = counts.sum(1)
+    want = {
+        (a, b) for a, x in enumerate(asks) for b in range(400)
+        if tile[x] == tile[b] and (need := int(jaccard.needed(size[x], size[b], 85, 100))) <= size[x] and np.minimum(counts[x], counts[b]).sum() >= need
+    }
+    assert set(zip(i.tolist(), j.tolist())) == want
+    assert forest.visited < len(asks) * 400
 
 
 def test_jaccard_edges(spark):
