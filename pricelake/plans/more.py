@@ -140,13 +140,18 @@ def bounded_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.orderBy(F.desc("ts"), F.desc("event_id")).limit(500).select("task_id", "event_id", "event_type")
 
 
+#: Products of a category page, by ranges of ids.
+PAGE = 500
+
+
 def product_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cards of a category page's payload, one payload a brand: address, name, prices, code; repeated addresses once, the first."""
+    """Cards of category pages, each page's payload one JSON text: address, name, prices, code; of a brand's repeated addresses the first."""
     p = products(spark, sf_dir)
     card = F.struct(F.concat(F.lit("https://shop.example/"), F.col("product_id") % 1000).alias("url"), F.col("name").alias("name"), F.array(G.money(F.col("list_price")), G.money(F.col("list_price") * 2)).alias("price_candidates"), F.col("product_id").cast("string").alias("product_code"))
-    payload = p.groupBy("brand").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("product_id", card.alias("c")))), lambda x: x["c"])).alias("payload"))
-    rows = payload.select("brand", F.posexplode(G.card_rows(F.col("payload"))).alias("place", "card"))
-    first = rows.groupBy("brand", "card.url").agg(F.min_by("card", "place").alias("c"))
+    page = F.floor(F.col("product_id") / PAGE).alias("page")
+    payload = p.groupBy("brand", page).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("product_id", card.alias("c")))), lambda x: x["c"])).alias("payload"))
+    rows = payload.select("brand", "page", F.posexplode(G.card_rows(F.col("payload"))).alias("place", "card"))
+    first = rows.groupBy("brand", "card.url").agg(F.min_by("card", F.struct("page", "place")).alias("c"))
     s = R.select_prices(F.array_distinct(F.flatten(F.transform("c.price_candidates", R.currency_prices))))
     return first.select("brand", "url", F.col("c.product_code").alias("code"), s["current"].alias("price"), s["old"].alias("old_price"))
 
