@@ -398,13 +398,13 @@ def test_length_histogram_of_an_empty_table(spark):
 
 
 def test_toxicity_held_out(spark):
-    """About half of the texts labelled toxic hold no word that marks them, so recall is bounded."""
+    """Of the held-out texts at sf0.1 nine tenths are right, of the toxic ones too."""
     sf = "/root/testdata/sf0.1"
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = [r for r in queries.op9_compression_toxicity(spark, sf).collect() if r.held_out and r.doc_id in truth]
     hit = sum(r.predicted == truth[r.doc_id] for r in rows)
     assert all(0 <= r.score <= 1 for r in rows) and hit / len(rows) > 0.9
-    assert sum(r.predicted for r in rows if truth[r.doc_id]) > 0.55 * sum(truth[r.doc_id] for r in rows)
+    assert sum(r.predicted for r in rows if truth[r.doc_id]) > 0.9 * sum(truth[r.doc_id] for r in rows)
 
 
 def test_toxicity_query_equals_plain_scoring(spark, sf_dir):
