@@ -178,7 +178,7 @@ def gallery(c: Column) -> Column:
     """A stored gallery as a list: a JSON list, or addresses parted by lines, bars or semicolons."""
     text = F.trim(F.coalesce(c, F.lit("")))
     listed = F.from_json(text, "array<string>")
-    parted = F.filter(F.transform(F.split(text, r"[\n\r|;]+|,(?=\s*https?://)"), F.trim), lambda u: u != "")
+    parted = F.filter(F.transform(F.split(text, r"[\n\r|;]+|,(?=\s*https?://)"), lambda u: F.trim(u)), lambda u: u != "")
     return F.when(text.startswith("["), F.coalesce(listed, F.array().cast("array<string>"))).otherwise(parted)
 
 
