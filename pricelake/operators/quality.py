@@ -45,8 +45,12 @@ def quality_level(score: Column) -> Column:
     return F.when(score >= 85, "very good").when(score >= 65, "good").when(score >= 45, "needs work").otherwise("weak")
 
 
-def offer_issues(now: Column) -> Column:
-    """code and severity of what an offer lacks, in the order of the 17 checks.
+#: What an issue of each severity costs (fixed values).
+COSTS = {"critical": 18, "warning": 8, "info": 3}
+
+
+def offer_checks(now: Column) -> list[tuple[str, str, Column]]:
+    """code, severity and whether an offer fails, of the checks in their order.
 
     Reads store, seller, price, url, availability, shipping, shipping_method,
     delivery_text, warranty_type, installment_text, campaign_text, image,
@@ -64,12 +68,17 @@ def offer_issues(now: Column) -> Column:
         ("last_checked", "warning", c("seen_at").isNull()), ("stale", "critical", age > 48), ("aging", "warning", (age > 24) & (age <= 48)),
         ("lifecycle", "warning", c("lifecycle").isin("MISSING", "ARCHIVED")), ("hidden", "info", c("hidden")),
     ]
-    return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(level).alias("severity"))) for code, level, bad in checks]))
+    return [(code, level, F.coalesce(bad, F.lit(False))) for code, level, bad in checks]
+
+
+def offer_issues(now: Column) -> Column:
+    """code and severity of what an offer lacks, in the order of `offer_checks`."""
+    return F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(code).alias("code"), F.lit(level).alias("severity"))) for code, level, bad in offer_checks(now)]))
 
 
 def completeness(issues: Column) -> Column:
-    """100 less 18 for each critical issue, 8 for each warning, 3 for each info; 0 at least."""
-    cost = lambda i: F.when(i["severity"] == "critical", 18).when(i["severity"] == "warning", 8).otherwise(3)
+    """100 less the cost of each issue; 0 at least."""
+    cost = lambda i: F.when(i["severity"] == "critical", COSTS["critical"]).when(i["severity"] == "warning", COSTS["warning"]).otherwise(COSTS["info"])
     return F.greatest(F.lit(0), 100 - F.aggregate(issues, F.lit(0), lambda acc, i: acc + cost(i)))
 
 
@@ -79,24 +88,29 @@ def health_bucket(score: Column, issues: Column) -> Column:
     return F.when((critical >= 2) | (score < 50), "broken").when((critical == 0) & (score >= 80), "ready").otherwise("incomplete")
 
 
-def health_by_store(offers: DataFrame) -> DataFrame:
-    """Each store's offers by bucket, mean score, coverage in percent, and its most frequent issues.
+def health_by_store(offers: DataFrame, now: Column) -> DataFrame:
+    """Each store's offers by bucket, mean score, coverage in percent, and its most frequent issue.
 
-    ``offers`` has store_id, issues, match_score.  Issues are counted by
-    (store, code) before the rest, so nothing is collected whole.
+    ``offers`` has store_id and what `offer_checks` reads.  Each check is one
+    flag a row; scores and buckets are sums of flags, and one aggregate counts
+    them all, so no list of issues is made.
     """
-    rows = offers.withColumn("score", completeness(F.col("issues"))).withColumn("bucket", health_bucket(F.col("score"), F.col("issues")))
-    lacks = lambda code: F.count_if(F.exists("issues", lambda i: i["code"] == code))
-    percent = lambda c: F.floor(c / F.count(F.lit(1)) * 1000 + 0.5) / 10
-    n = F.count(F.lit(1))
+    checks = offer_checks(now)
+    flags = offers.select("store_id", *[bad.alias(f"no_{code}") for code, _, bad in checks])
+    count = lambda level: sum((F.when(F.col(f"no_{code}"), 1).otherwise(0) for code, severity, _ in checks if severity == level), F.lit(0))
+    rows = flags.withColumns({level: count(level) for level in COSTS})
+    rows = rows.withColumn("score", F.greatest(F.lit(0), 100 - sum((F.col(level) * n for level, n in COSTS.items()), F.lit(0))))
+    rows = rows.withColumn("bucket", F.when((F.col("critical") >= 2) | (F.col("score") < 50), "broken").when((F.col("critical") == 0) & (F.col("score") >= 80), "ready").otherwise("incomplete"))
+    n = F.col("offers")
+    percent = lambda c: F.floor(c / n * 1000 + 0.5) / 10
     out = rows.groupBy("store_id").agg(
-        n.alias("offers"), *[F.count_if(F.col("bucket") == b).alias(b) for b in ("ready", "incomplete", "broken")],
-        (F.floor(F.sum("score") / n * 10 + 0.5) / 10).alias("score"), percent(F.count_if(F.col("bucket") == "ready")).alias("success_percent"),
-        percent(n - lacks("delivery")).alias("delivery_coverage"), percent(n - lacks("seller")).alias("seller_coverage"),
+        F.count(F.lit(1)).alias("offers"), *[F.count_if(F.col("bucket") == b).alias(b) for b in ("ready", "incomplete", "broken")], F.sum("score").alias("points"), *[F.count_if(F.col(f"no_{code}")).alias(f"n_{code}") for code, _, _ in checks],
+    )
+    often = F.array_max(F.array_compact(F.array(*[F.when(F.col(f"n_{code}") > 0, F.struct(F.col(f"n_{code}").alias("k"), F.lit(code).alias("code"))) for code, _, _ in checks])))
+    return out.withColumn("t", often).select(
+        "store_id", "offers", "ready", "incomplete", "broken", (F.floor(F.col("points") / n * 10 + 0.5) / 10).alias("score"), percent(F.col("ready")).alias("success_percent"), percent(n - F.col("n_delivery")).alias("delivery_coverage"),
+        percent(n - F.col("n_seller")).alias("seller_coverage"), F.col("t.code").alias("top_issue"), F.col("t.k").alias("top_issue_count"),
     )
-    codes = rows.select("store_id", F.explode("issues.code").alias("code")).groupBy("store_id", "code").agg(F.count(F.lit(1)).alias("k"))
-    top = codes.groupBy("store_id").agg(F.max(F.struct("k", F.col("code"))).alias("t"))
-    return out.join(top.select("store_id", F.col("t.code").alias("top_issue"), F.col("t.k").alias("top_issue_count")), "store_id", "left")
 
 
 def listing_fault(name: Column, price: Column, url: Column, shortest: int = 3, longest: int = 500, most: float = 100_000_000.0) -> Column:

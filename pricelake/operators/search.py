@@ -279,9 +279,13 @@ def autocomplete(products: DataFrame, query: str, top: int = 8) -> DataFrame:
         F.concat(F.col("q.gpu"), F.lit(" laptop")), F.concat(F.col("q.gpu"), F.lit(" fiyat performans laptop")),
     ), lambda t: t.isNotNull())
     templates = q.select(F.posexplode(card).alias("place", "name")).select(F.lit("query").alias("kind"), "name", F.lit(2.0).alias("score"), "place")
-    norm = T.normalize_query(F.col("name"))
-    asked = parse_query(F.lit(query))["normalized"]
-    named = products.select("name").distinct()
-    scored = named.select("name", (seq_ratio(asked, norm) + F.when(norm.contains(asked), 0.6).otherwise(0.0)).alias("score")).where("score >= 0.45")
+    asked = parsed_once(spark, query)["normalized"]
+    named = products.select("name").distinct().withColumn("norm", T.normalize_query(F.col("name")))
+    # a ratio is at most twice the letters in common over all letters, so most names need none
+    letters = {ch: asked.count(ch) for ch in sorted(set(asked))}
+    shared = sum((F.least(F.length("norm") - F.length(F.replace("norm", F.lit(ch), F.lit(""))), F.lit(n)) for ch, n in letters.items()), F.lit(0))
+    near = F.col("norm").contains(asked) | (2 * shared >= 0.45 * (F.length("norm") + len(asked)))
+    ratio = seq_ratio(F.lit(asked), F.col("norm")) + F.when(F.col("norm").contains(asked), 0.6).otherwise(0.0)
+    scored = named.where(near).select("name", ratio.alias("score")).where("score >= 0.45")
     found = scored.select(F.lit("product").alias("kind"), "name", "score", F.lit(0).alias("place"))
     return templates.unionByName(found).orderBy(F.desc("score"), "kind", "place", "name").limit(top).drop("place")

@@ -63,8 +63,7 @@ def offer_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def offer_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _offers_with_gaps(spark, sf_dir).withColumn("issues", Q.offer_issues(F.lit(NOW).cast("timestamp_ntz")))
-    return Q.health_by_store(rows)
+    return Q.health_by_store(_offers_with_gaps(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz"))
 
 
 def listing_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
