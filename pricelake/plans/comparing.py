@@ -23,12 +23,12 @@ def _offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def variant_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+def global_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every offer of each product's selected variant with its score."""
     return C.compared(_offers(spark, sf_dir)).select("product_id", "variant_id", "store_id", "total", "is_available", "is_best", "score")
 
 
-def variant_comparison_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def global_comparison_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.comparison_summary(C.compared(_offers(spark, sf_dir)))
 
 
@@ -55,7 +55,7 @@ def low_price_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("verdict", verdict).where("verdict is not null").select("product_id", "store_id", "kind", "price", "peers", "ratio", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (variant_comparison, variant_comparison_summary, store_pages, marketplace_offers, low_price_quarantine)}
+QUERIES = {f.__name__: f for f in (global_comparison, global_comparison_summary, store_pages, marketplace_offers, low_price_quarantine)}
 
 _V = f"""WITH {SQL_CUR}, o AS (SELECT product_id, store_id, store_id % 3 AS variant_id, price, CASE WHEN order_id % 4 = 0 THEN 0.0 ELSE shipping END AS shipping, store_id % 5 = 0 AS official, order_id % 3 = 0 AS delivery,
         order_id % 13 <> 0 AND NOT hidden AND lifecycle = 'ACTIVE' AND price > 0 AND order_id % 10 NOT IN (0, 1) AS is_available FROM cur),
@@ -64,10 +64,10 @@ _V = f"""WITH {SQL_CUR}, o AS (SELECT product_id, store_id, store_id % 3 AS vari
     b AS (SELECT *, min(total) FILTER (is_available) OVER (PARTITION BY product_id) AS least FROM s)"""
 
 SQL = {
-    "variant_comparison": _V
+    "global_comparison": _V
     + """ SELECT product_id, variant_id, store_id, total, is_available, coalesce(is_available AND total = least, false) AS is_best, CASE WHEN is_available THEN 50.0 + CASE WHEN total = least THEN 25 ELSE 0 END + CASE WHEN shipping <= 0 THEN 10 ELSE 0 END
         + CASE WHEN official THEN 10 ELSE 0 END + CASE WHEN delivery THEN 5 ELSE 0 END ELSE 0.0 END::DOUBLE AS score FROM b""",
-    "variant_comparison_summary": _V
+    "global_comparison_summary": _V
     + """, g AS (SELECT product_id, min(variant_id) AS variant_id, count(*) AS total_offers, count(*) FILTER (is_available) AS offers, count(DISTINCT store_id) FILTER (is_available) AS stores, min(total) FILTER (is_available) AS best_total,
         max(total) FILTER (is_available) AS highest_total, arg_min(store_id, row(total, store_id)) FILTER (is_available) AS best_store FROM b GROUP BY product_id)
         SELECT *, floor(coalesce(highest_total - best_total, 0.0) * 100 + 0.5) / 100 AS saving, CASE WHEN highest_total > best_total THEN floor((highest_total - best_total) / highest_total * 100 * 100 + 0.5) / 100 ELSE 0.0 END AS saving_percent FROM g""",

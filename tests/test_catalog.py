@@ -452,3 +452,16 @@ def test_survivors_ties_and_missing_keys(spark):
 
     rows = spark.createDataFrame([(1, "a", 2), (2, "a", 5), (3, "a", 5), (4, None, 1), (5, None, 9)], "product_id long, identity_key string, offers long")
     assert {r.product_id: r.survivor_id for r in merge.survivors(rows).collect()} == {1: 2, 2: 2, 3: 2, 4: 4, 5: 5}
+
+
+def test_queries_have_own_names():
+    """No module's query hides another's."""
+    import importlib
+    import pkgutil
+
+    from pricelake import plans
+
+    modules = [importlib.import_module(f"pricelake.plans.{m.name}") for m in pkgutil.iter_modules(plans.__path__)]
+    names = [n for m in modules for n in m.QUERIES]
+    assert len(names) == len(set(names)) == len(catalog.QUERIES)
+    assert set(catalog.SQL) <= set(catalog.QUERIES)
