@@ -107,3 +107,40 @@ def test_title_matches_equal_plain_rules(spark, sf_dir):
     want = {(x.i, y.i): plain(x, y) for x in rows for y in rows}
     assert {k: (got[k], w) for k, w in want.items() if got[k][0] != w[0] or abs(got[k][1] - w[1]) > 2e-4} == {}
     assert {m for m, _ in want.values()} == {True, False} and len({s for _, s in want.values()}) > 8
+
+
+def test_product_fixes_equal_plain_rules(spark, sf_dir):
+    """Brand, model, category and cleaned name by plain Python over the query's own rows, and golden rows."""
+    import re
+    import unicodedata
+
+    from pricelake.functions import inference as N
+    from pricelake.plans import matching as P
+    from pricelake.sources.market import market_cards
+
+    bare = lambda v: "".join(c for c in unicodedata.normalize("NFKD", v or "") if not unicodedata.combining(c)).casefold()
+    clean = lambda v: re.sub(r"\s+([,.;:])", r"\1", re.sub(r"\s+", " ", v or "").strip(" -|,"))
+
+    def plain(name, brand, model, category):
+        n, t = clean(name), bare(clean(name))
+        b = None if (brand or "").strip() else next((k for k in N.KNOWN_BRANDS if re.search(rf"(?<![a-z0-9]){re.escape(bare(k))}(?![a-z0-9])", t)), None)
+        own, found = (brand or "").strip() or b, None
+        if not (model or "").strip():
+            hit = next((h[0] for p in N.MODELS if (h := re.search(p, n, re.I))), None)
+            if hit is not None:
+                found = clean(hit)
+                if own and bare(found).startswith(bare(own)):
+                    found = clean(found[len(own) :])
+        c = None if (category or "").strip() else next((k for k, ws in N.CATEGORY_WORDS if any(bare(w) in t for w in ws)), None)
+        return b, found, c, n if n and n != name else None
+
+    golden = [("  Samsung Galaxy S24 Ultra , 256 GB -", None, None, None), ("AKILLI SAAT", None, None, None), ("akıllı saat Casper VIA20", "", "", ""), ("Arçelik 9123 bulaşık makinesi", None, None, "Mutfak"), ("RTX 5060 Ti MSI", "MSI", None, None), ("wdx", None, None, None), (None, None, None, None), ("HP-15 Victus", None, None, None)]
+    df = spark.createDataFrame([(i, *g) for i, g in enumerate(golden)], "i int, name string, brand string, model string, category string")
+    got = {r.i: tuple(r.f) for r in df.select("i", N.suggested_fix(*[F.col(c) for c in ("name", "brand", "model", "category")]).alias("f")).collect()}
+    assert {i: (got[i], plain(*g)) for i, g in enumerate(golden) if got[i] != plain(*g)} == {}
+    assert got[0] == ("Samsung", "Galaxy S24 Ultra", "Telefon", "Samsung Galaxy S24 Ultra, 256 GB")
+    cards = {r.card_id: r for r in market_cards(spark, sf_dir).where("product_id < 40").collect()}
+    for r in P.product_fixes(spark, sf_dir).where(F.col("card_id") < 4000).collect():
+        c, m = cards[r.card_id], r.card_id % 100
+        name = f" -  {c.name} , |" if m == 6 else c.name
+        assert (r.brand, r.model, r.category, r.name) == plain(name, c.brand if m % 3 else None, "X" if m == 5 else None, c.category if m % 2 else None)
