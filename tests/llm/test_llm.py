@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import random
 import re
 import struct
 import zlib
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from pricelake.llm import chat, decontamination, dedup, jaccard, lengths, licences, packing, queries, records, sharding, toxicity
+from pricelake.llm import chat, decontamination, dedup, jaccard, lengths, licences, packing, queries, records, sharding, tokens, toxicity
 from pricelake.llm.tokens import encoder, public_path
 
 SCHEMA = "doc_id long, text string, hash string, node long, key string"
@@ -226,6 +227,44 @@ def test_piece_encoder_equals_library(file, sf_dir):
     assert encoder(file).encode(pa.array([], pa.string()), 3)[0].tolist() == []
 
 
+class Counted:
+    """A tokenizer that keeps the texts it is asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.asked = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.asked += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_piece_encoder_asks_once_for_a_word(monkeypatch):
+    """Spellings of a word, stops after it and words outside ASCII share what is asked; words that are met again outlive a full generation."""
+    enc = tokens.PieceEncoder(public_path("word_bpe_49k.json"))
+    enc.tokenizer = seen = Counted(enc.tokenizer)
+    same = ["x the The THE\tthe the, The. the", "x grün. Über\n\nÇa A\u030a,b H\u0331 İ"]
+    flat, bounds = enc.encode(pa.array(same))
+    assert [flat[lo:hi].tolist() for lo, hi in zip(bounds, bounds[1:])] == direct_ids("word_bpe_49k.json", same)
+    assert sum(t.lower().count("the") for t in seen.asked) == 1
+    assert sum(not t.isascii() for t in seen.asked) == 1
+    monkeypatch.setattr(tokens, "_PIECE_CHARS", 50)
+    for i in range(20):
+        texts = ["y often said"] + [f"z {'q' * i}{k}k" for k in range(9)]
+        flat, bounds = enc.encode(pa.array(texts))
+        assert [flat[lo:hi].tolist() for lo, hi in zip(bounds, bounds[1:])] == direct_ids("word_bpe_49k.json", texts)
+        assert len(enc.index) < 40 and len(enc.before[0]) < 40
+    assert sum(t.count("often") for t in seen.asked) == 1
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_piece_encoder_equals_library_at_stops_and_marks(file):
+    r = random.Random(5)
+    letters = "\u0338\u0308\u0327\u0331\u0307\u0301.,;:!? \n\tAbHiİßς's\u00e91\u03a3\u212b"
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(60))) for _ in range(3000)]
+    flat, bounds = encoder(file).encode(pa.array(texts))
+    assert [flat[lo:hi].tolist() for lo, hi in zip(bounds, bounds[1:])] == direct_ids(file, texts)
+
+
 def brute_packing(rows, seq_len=2048):
     """(doc_id, start, length, ids_crc32, doc_tokens) of every piece, from the library's ids."""
     out = []
