@@ -33,8 +33,13 @@ def visible(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "")
 
 
+def title_source(html: Column) -> Column:
+    """A page's title as it is written, entities and all."""
+    return F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+
+
 def title(html: Column) -> Column:
-    return F.trim(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    return F.trim(unescape(title_source(html)))
 
 
 def language(html: Column) -> Column:
