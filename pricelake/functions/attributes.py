@@ -29,12 +29,12 @@ YES_TERMS = {
 
 def attributes(title: Column) -> Column:
     """section, name, value of what a title says, in a fixed order."""
-    return let(F.regexp_replace(F.trim(fold(F.coalesce(title, F.lit("")))), r"\s+", " "), _attributes)
+    text = F.regexp_replace(F.trim(fold(F.coalesce(title, F.lit("")))), r"\s+", " ")
+    return let(text, lambda t: let(memory_and_disk(t), lambda size: let(_entries(t, size), F.array_compact)))
 
 
-def _attributes(text: Column) -> Column:
+def _entries(text: Column, size: Column) -> Column:
     has = lambda pattern, i=1: F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
-    size = memory_and_disk(text)
     disk = size["storage_gb"]
     shown_disk = F.when((disk >= 1024) & (disk % 1024 == 0), F.concat((disk / 1024).cast("int"), F.lit(" TB"))).otherwise(F.concat(disk, F.lit(" GB")))
     cpu = F.coalesce(*[has(p) for p in CPUS])
@@ -50,7 +50,8 @@ def _attributes(text: Column) -> Column:
         ("Batarya", "Hızlı Şarj Gücü", F.concat(has(r"\b([0-9]{1,3})\s*w(?:att)?\s*(?:hizli\s*)?(?:sarj|charge)?\b"), F.lit(" W"))), *[(s, n, F.when(text.rlike(p), F.lit("Var"))) for (s, n), p in YES_TERMS.items()],
         ("Bağlantılar", "Bluetooth Sürümü", F.replace(has(r"\bbluetooth\s*([0-9](?:[.,][0-9])?)\b"), F.lit(","), F.lit("."))), ("Tasarım", "Renk", F.coalesce(*[F.when(text.rlike(rf"\b{k}\b"), F.lit(v)) for k, v in COLORS.items()])),
     ]
-    return F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(s).alias("section"), F.lit(n).alias("name"), v.alias("value"))) for s, n, v in entries]))
+    row = lambda s, n: lambda v: F.when(v.isNotNull(), F.struct(F.lit(s).alias("section"), F.lit(n).alias("name"), v.alias("value")))
+    return F.array(*[let(v, row(s, n)) for s, n, v in entries])
 
 
 def evidence_confidence(found: Column) -> Column:

@@ -120,21 +120,30 @@ def memory_and_disk(c: Column) -> Column:
 
 def _memory_and_disk(text: Column) -> Column:
     pair_ram, pair_disk, pair_unit = (F.regexp_extract(text, _PAIR, i).try_cast("int") if i < 3 else F.regexp_extract(text, _PAIR, 3) for i in (1, 2, 3))
-    paired = pair_ram.isNotNull() & pair_disk.isNotNull() & ((pair_unit != "") | text.rlike(rf"(?<![0-9]){_RAM}\s*(?:gb?)?\s*[+/x]"))
     ram = F.coalesce(F.regexp_extract(text, _RAM_NAMED, 1).try_cast("int"), F.regexp_extract(text, _RAM_NAMED, 2).try_cast("int"))
-    number = F.replace(F.regexp_extract(text, _DISK_NAMED, 1), F.lit(","), F.lit(".")).try_cast("double")
-    unit = F.regexp_extract(text, _DISK_NAMED, 2)
-    named = F.when(unit == "tb", F.rint(number * 1024)).otherwise(F.rint(number)).cast("int")
-    named = F.when((unit != "") | (named >= 32), named)
+    disk = F.struct(F.replace(F.regexp_extract(text, _DISK_NAMED, 1), F.lit(","), F.lit(".")).try_cast("double").alias("number"), F.regexp_extract(text, _DISK_NAMED, 2).alias("unit"))
     free = F.transform(F.regexp_extract_all(text, F.lit(_FREE), F.lit(1)), capacity_gb)
+    pair = F.struct(pair_ram.alias("ram"), pair_disk.alias("disk"), pair_unit.alias("unit"))
+
+    def paired(p: Column) -> Column:
+        whole = p["ram"].isNotNull() & p["disk"].isNotNull() & ((p["unit"] != "") | text.rlike(rf"(?<![0-9]){_RAM}\s*(?:gb?)?\s*[+/x]"))
+        both = F.struct(p["ram"].alias("ram_gb"), F.when(p["unit"] == "tb", p["disk"] * 1024).otherwise(p["disk"]).alias("storage_gb"))
+        return F.when(whole, both).otherwise(let(F.struct(ram.alias("ram"), disk.alias("disk"), free.alias("free")), _apart))
+
+    return let(pair, paired)
+
+
+def _apart(t: Column) -> Column:
+    """Memory and disk that aren't written as a pair: by the words beside them, else by size."""
+    ram, free, unit = t["ram"], t["free"], t["disk"]["unit"]
+    named = F.when(unit == "tb", F.rint(t["disk"]["number"] * 1024)).otherwise(F.rint(t["disk"]["number"])).cast("int")
+    named = F.when((unit != "") | (named >= 32), named)
     others = F.filter(free, lambda g: ram.isNull() | (g != ram))
     small = F.filter(free, lambda g: g.isin(2, 3, 4, 6, 8, 12, 16, 18, 24, 32, 48, 64) & (g < F.array_max(free)))
     guess = (F.size(free) >= 2) & (F.size(small) > 0) & (F.array_max(free) >= 32)
     return F.struct(
-        F.when(paired, pair_ram).otherwise(F.coalesce(ram, F.when(guess, F.try_element_at(small, F.lit(1))))).alias("ram_gb"),
-        F.when(paired, F.when(pair_unit == "tb", pair_disk * 1024).otherwise(pair_disk))
-        .otherwise(F.coalesce(named, F.when(ram.isNull() & guess, F.array_max(free)), F.array_max(others)))
-        .alias("storage_gb"),
+        F.coalesce(ram, F.when(guess, F.try_element_at(small, F.lit(1)))).alias("ram_gb"),
+        F.coalesce(named, F.when(ram.isNull() & guess, F.array_max(free)), F.array_max(others)).alias("storage_gb"),
     )
 
 

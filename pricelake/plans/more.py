@@ -14,13 +14,15 @@ from pricelake.operators import offers as O
 from pricelake.operators import operations as P
 from pricelake.plans.linkage import _parsed
 from pricelake.sources.listings import SQL_LISTINGS, listings
+from pricelake.sources.staged import once
 from pricelake.sources.tables import EVENTS_NOW, NOW, SQL_CUR, SQL_OBS, current_offers, observations, products, read
 
 
 def listing_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each listing's title says, as rows."""
-    rows = listings(spark, sf_dir).select("listing_id", F.explode(A.attributes(F.col("title"))).alias("a"))
-    return rows.select("listing_id", "a.section", "a.name", "a.value")
+    """What each listing's title says, as rows; equal titles are read once."""
+    rows = listings(spark, sf_dir).select("listing_id", F.coalesce("title", F.lit("")).alias("title"))
+    told = once(rows, ["title"], lambda titles: titles.select("title", A.attributes(F.col("title")).alias("a")), "attributes")
+    return told.select("listing_id", F.explode("a").alias("a")).select("listing_id", "a.section", "a.name", "a.value")
 
 
 def listing_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:

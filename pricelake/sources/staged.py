@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -36,3 +37,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_gone, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt out to as many tasks as a shuffle has: few bytes that cost much to read would else stay in one task."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
+def once(rows: DataFrame, by: list[str], answer: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """``rows`` with what ``answer`` adds to their distinct values of ``by``, each answered once and written.
+
+    Columns of ``by`` are not null; a struct of them may hold nulls.
+    """
+    known = staged(answer(spread(rows.select(*by).distinct())), name)
+    return rows.join(known, by)

@@ -27,3 +27,43 @@ def test_page_titles_keep_other_entities(spark, tables):
     folder, con = tables(pages=spark.createDataFrame([(1, html)], "page_id bigint, html string"))
     got = [tuple(r) for r in catalog.QUERIES["page_title_meta"](spark, folder).collect()]
     assert got == con.execute(catalog.SQL["page_title_meta"]).fetchall() == [(1, "a &quot;b&quot; & c &lt;d", "en", 1, None)]
+
+
+@pytest.fixture
+def answered(monkeypatch):
+    """How many rows and partitions each table had that a query wrote, by name."""
+    from pricelake.sources import staged as module
+
+    found, write = {}, module.staged
+
+    def recorded(df, name):
+        out = write(df, name)
+        found[name] = (out.count(), df.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(module, "staged", recorded)
+    return found
+
+
+def parts(spark, period, keys=(3, 4, 7, 20)):
+    """Products whose titles come three times."""
+    return spark.createDataFrame([(k + i * period, 10.0 + i) for k in keys for i in range(3)], "p_partkey bigint, p_retailprice double")
+
+
+def test_equal_titles_give_attributes_once(spark, tables, answered, same_rows):
+    """A repeated title isn't read again, and the reading is dealt out."""
+    folder, con = tables(part=parts(spark, 120_120))
+    same_rows(catalog.QUERIES["listing_attributes"](spark, folder), con, catalog.SQL["listing_attributes"])
+    rows, tasks = answered["attributes"]
+    assert rows == 8 and tasks >= 8
+
+
+@pytest.fixture
+def same_rows():
+    def check(df, con, sql):
+        got = con.execute(sql)
+        cols = [d[0] for d in got.description]
+        want = sorted(map(repr, got.fetchall()))
+        assert sorted(repr(tuple(r[c] for c in cols)) for r in df.collect()) == want and want
+
+    return check
