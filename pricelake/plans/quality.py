@@ -6,6 +6,8 @@ divisible by decides which field is missing.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,10 +142,27 @@ def release_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.withColumns({"critical": critical, "warnings": warnings, "status": verdict})
 
 
+def _offer_id(obs: DataFrame) -> F.Column:
+    """An observation's number: product, store, order and line side by side.
+
+    Stores have five places and orders with their lines eight, in a bigint;
+    where the largest keys don't fit, they have more, in a decimal.
+    """
+    keys = ("product_id", "store_id", "order_id")
+    product, store, order = (v or 0 for v in obs.agg(*[F.max(k) for k in keys]).first())
+    stores, orders = 10**5 if store < 10**5 else 10**10, 10**8 if order * 10 + 9 < 10**8 else 10**16
+    if stores == 10**5 and orders == 10**8 and ((product + 1) * stores) * orders <= 2**63:
+        return (F.col("product_id") * stores + F.col("store_id")) * orders + F.col("order_id") * 10 + F.col("line")
+    number = lambda n: F.lit(Decimal(n))
+    wide = lambda c, digits: F.col(c).cast(f"decimal({digits},0)")
+    return ((wide("product_id", 12) * number(stores * orders)).cast("decimal(38,0)") + (wide("store_id", 10) * number(orders)).cast("decimal(38,0)") + (wide("order_id", 15) * number(10)).cast("decimal(17,0)") + wide("line", 5)).cast("decimal(38,0)")
+
+
 def _as_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations as offer rows; a product's observations in a store are copies of one offer."""
-    return observations(spark, sf_dir).select(
-        ((F.col("product_id") * 100_000 + F.col("store_id")) * 100_000_000 + F.col("order_id") * 10 + F.col("line")).alias("offer_id"), "product_id", "store_id", "price", "shipping", F.col("seen_at").alias("checked_at"), F.col("seen_at").alias("updated_at"),
+    obs = observations(spark, sf_dir)
+    return obs.select(
+        _offer_id(obs).alias("offer_id"), "product_id", "store_id", "price", "shipping", F.col("seen_at").alias("checked_at"), F.col("seen_at").alias("updated_at"),
         (F.col("lifecycle") == "ACTIVE").alias("active"), "hidden",
     )
 

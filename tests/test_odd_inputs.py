@@ -67,3 +67,17 @@ def same_rows():
         assert sorted(repr(tuple(r[c] for c in cols)) for r in df.collect()) == want and want
 
     return check
+
+
+@pytest.mark.parametrize("name", ["archived_duplicates"])
+@pytest.mark.parametrize("product, store, order", [(1_200_000, 59_999, 9_000_000), (7_000_000, 400_000, 54_000_000), (7, 400_000, 54_000_000)])
+def test_large_keys_give_whole_offer_numbers(spark, sf_dir, tables, name, product, store, order):
+    """Keys past the places that a bigint has for them: the groups of the small keys, under numbers that differ."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_partkey < 40")
+    far = lines.withColumns({c: F.col(c) + n for c, n in (("l_partkey", product), ("l_suppkey", store), ("l_orderkey", order))})
+    near, con = tables(lineitem=lines)
+    far.coalesce(1).write.parquet(f"{near}/far/lineitem.parquet")
+    kept = lambda df: sorted(map(repr, df.drop("survivor_id", "product_id", "store_id").collect()))
+    small, large = catalog.QUERIES[name](spark, near), catalog.QUERIES[name](spark, f"{near}/far")
+    assert dict(small.dtypes)["survivor_id"] == "bigint" and kept(small) == kept(large)
+    assert large.select("survivor_id").distinct().count() == small.count() == con.execute(f"SELECT count(*) FROM ({catalog.SQL[name]})").fetchone()[0]
