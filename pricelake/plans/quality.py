@@ -175,8 +175,9 @@ def archived_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def moved_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each survivor's history after its copies' points have moved to it."""
-    elected = M.offer_survivors(_as_offers(spark, sf_dir), ["product_id", "store_id"])
-    points = _as_offers(spark, sf_dir).select("offer_id", "price", F.date_trunc("year", "checked_at").alias("recorded_at"))
+    offers = _as_offers(spark, sf_dir)
+    elected = M.offer_survivors(offers, ["product_id", "store_id"])
+    points = offers.select("offer_id", "price", F.date_trunc("year", "checked_at").alias("recorded_at"))
     moved = M.moved_history(points, elected.select("offer_id", "survivor_id"))
     return moved.groupBy("survivor_id").agg(F.count(F.lit(1)).alias("points"), F.count_if("moved").alias("moved"))
 

@@ -69,7 +69,7 @@ def same_rows():
     return check
 
 
-@pytest.mark.parametrize("name", ["archived_duplicates"])
+@pytest.mark.parametrize("name", ["archived_duplicates", "moved_history"])
 @pytest.mark.parametrize("product, store, order", [(1_200_000, 59_999, 9_000_000), (7_000_000, 400_000, 54_000_000), (7, 400_000, 54_000_000)])
 def test_large_keys_give_whole_offer_numbers(spark, sf_dir, tables, name, product, store, order):
     """Keys past the places that a bigint has for them: the groups of the small keys, under numbers that differ."""
