@@ -32,6 +32,8 @@ def test_page_titles_keep_other_entities(spark, tables):
 @pytest.fixture
 def answered(monkeypatch):
     """How many rows and partitions each table had that a query wrote, by name."""
+    from pricelake.operators import cards, strict
+    from pricelake.plans import matching
     from pricelake.sources import staged as module
 
     found, write = {}, module.staged
@@ -41,7 +43,8 @@ def answered(monkeypatch):
         found[name] = (out.count(), df.rdd.getNumPartitions())
         return out
 
-    monkeypatch.setattr(module, "staged", recorded)
+    for m in (module, cards, strict, matching):
+        monkeypatch.setattr(m, "staged", recorded)
     return found
 
 
@@ -81,3 +84,17 @@ def test_large_keys_give_whole_offer_numbers(spark, sf_dir, tables, name, produc
     small, large = catalog.QUERIES[name](spark, near), catalog.QUERIES[name](spark, f"{near}/far")
     assert dict(small.dtypes)["survivor_id"] == "bigint" and kept(small) == kept(large)
     assert large.select("survivor_id").distinct().count() == small.count() == con.execute(f"SELECT count(*) FROM ({catalog.SQL[name]})").fetchone()[0]
+
+
+def test_equal_sources_have_equal_candidates(spark, tables, answered):
+    """Products with one title have the same verdicts, counted over all cards."""
+    from pricelake.operators import strict as S
+    from pricelake.sources.market import market_cards, market_products
+
+    folder, _ = tables(part=parts(spark, 216_000, keys=(7, 19)))
+    got = sorted(map(tuple, catalog.QUERIES["strict_candidates"](spark, folder).collect()))
+    assert answered["strict-candidates"][0] <= 20
+    a, b = market_products(spark, folder), market_cards(spark, folder)
+    pairs = S.strict_pairs(a.select(F.col("product_id").alias("source_id"), S.facts_of(a).alias("f")), b.select(F.col("card_id").alias("candidate_id"), S.facts_of(b).alias("f")))
+    want = pairs.groupBy("source_id", "reason", "matched").agg(F.count(F.lit(1)), F.max("score")).collect()
+    assert got == sorted(map(tuple, want)) and len({r[0] for r in got}) == 6
