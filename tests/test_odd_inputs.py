@@ -98,3 +98,15 @@ def test_equal_sources_have_equal_candidates(spark, tables, answered):
     pairs = S.strict_pairs(a.select(F.col("product_id").alias("source_id"), S.facts_of(a).alias("f")), b.select(F.col("card_id").alias("candidate_id"), S.facts_of(b).alias("f")))
     want = pairs.groupBy("source_id", "reason", "matched").agg(F.count(F.lit(1)), F.max("score")).collect()
     assert got == sorted(map(tuple, want)) and len({r[0] for r in got}) == 6
+
+
+def test_equal_pairs_are_compared_once(spark, tables, answered):
+    """Three copies of each product and card: one comparison, and the verdict at every card."""
+    folder, _ = tables(part=parts(spark, 216_000))
+    for name, table in (("dispatch_matches", "dispatched"),):
+        rows = catalog.QUERIES[name](spark, folder).collect()
+        assert len(rows) == len({r.card_id for r in rows}) == 120 and answered[table][0] <= 40
+        told = {}
+        for r in rows:  # the card's number, without the copy that it stands for
+            told.setdefault((r.card_id // 100 % 216_000, r.card_id % 100), set()).add(tuple(r)[1:])
+        assert len(told) == 40 and all(len(v) == 1 for v in told.values())
