@@ -103,7 +103,7 @@ def test_equal_sources_have_equal_candidates(spark, tables, answered):
 def test_equal_pairs_are_compared_once(spark, tables, answered):
     """Three copies of each product and card: one comparison, and the verdict at every card."""
     folder, _ = tables(part=parts(spark, 216_000))
-    for name, table in (("dispatch_matches", "dispatched"),):
+    for name, table in (("card_verdicts", "card-verdicts"), ("dispatch_matches", "dispatched")):
         rows = catalog.QUERIES[name](spark, folder).collect()
         assert len(rows) == len({r.card_id for r in rows}) == 120 and answered[table][0] <= 40
         told = {}
