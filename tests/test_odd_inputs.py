@@ -110,3 +110,19 @@ def test_equal_pairs_are_compared_once(spark, tables, answered):
         for r in rows:  # the card's number, without the copy that it stands for
             told.setdefault((r.card_id // 100 % 216_000, r.card_id % 100), set()).add(tuple(r)[1:])
         assert len(told) == 40 and all(len(v) == 1 for v in told.values())
+
+
+def test_equal_cards_are_found_once(spark, tables, answered):
+    """Equal labels are one card with its number; counts and the first of the best are those of all cards."""
+    from pricelake.operators import cards as C
+    from pricelake.sources.market import market_cards, market_products
+
+    folder, _ = tables(part=parts(spark, 216_000))
+    got = {r.query_id: (r.cards, r.best_score, r.card_id) for r in catalog.QUERIES["card_search"](spark, folder).collect()}
+    assert answered["cards"][0] <= 40 and answered["cards"][1] >= 8
+    names = market_products(spark, folder).groupBy("name").agg(F.min("product_id").alias("query_id")).select("query_id", F.col("name").alias("query"))
+    every, want = market_cards(spark, folder).select("card_id", F.col("name").alias("label"), "href"), {}
+    for r in C.card_matches(names, every).collect():
+        want.setdefault(r.query_id, []).append((-r.score, r.card_id))
+    assert got == {q: (len(v), -min(v)[0], min(v)[1]) for q, v in want.items()} and got
+    assert all(n % 3 == 0 for n, _, _ in got.values())
